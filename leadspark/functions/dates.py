@@ -42,7 +42,7 @@ def _apply(value: Column, rewrites: list[tuple[str, str]]) -> Column:
 def _number_months(part: Column) -> Column:
     numbers = {n: i for i, m in enumerate(fv.MONTHS, 1) for n in (m, m[:3])}
     numbers["sept"] = 9
-    table = F.create_map(*[F.lit(x) for n, i in numbers.items() for x in (n, f"~{i}~")])
+    table = F.expr("map(" + ", ".join(f"'{n}', '~{i}~'" for n, i in numbers.items()) + ")")
     word = F.regexp_extract(part, "([A-Za-z]{3,9})", 1)
     return F.regexp_replace(part, F.lit("[A-Za-z]{3,9}"), F.coalesce(F.element_at(table, F.lower(word)), F.lit("?")))
 

@@ -143,7 +143,11 @@ def carrier_key(value: Column) -> Column:
 
 
 def literal_map(entries: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+    """A constant map, parsed in one go (a call per entry would dominate plan building)."""
+    def quoted(text: str) -> str:
+        return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    return F.expr("map(" + ", ".join(quoted(x) for pair in entries.items() for x in pair) + ")")
 
 
 def carrier_exact(value: Column) -> Column:

@@ -68,9 +68,9 @@ def _compose(claimed: DataFrame, target: str, parts: list[list[str]]) -> DataFra
     for n, names in enumerate(parts):
         for alias in names:
             table.setdefault(alias, n)
-    lookup = F.create_map(*[x for a, n in table.items() for x in (F.lit(a), F.lit(n))])
+    lookup = literal_map({a: str(n) for a, n in table.items()})
     whole = Window.partitionBy("file_id")
-    part = F.when(F.col("status") == "unmapped", F.element_at(lookup, F.col("key")))
+    part = F.when(F.col("status") == "unmapped", F.element_at(lookup, F.col("key")).cast("int"))
     taken = F.max(F.when(F.col("target") == target, 1).otherwise(0)).over(whole)
     first = F.row_number().over(Window.partitionBy("file_id", "_part").orderBy("ordinal")) == 1
     found = F.size(F.collect_set("_part").over(whole))

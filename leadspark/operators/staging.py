@@ -1,8 +1,9 @@
-"""Cut lineage through the shared folder the session names, and size-checked broadcasts."""
+"""Intermediate tables in the shared folder the session names, and size-checked broadcasts."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,23 +11,29 @@ from pyspark.sql import functions as F
 # A broadcast table is held by every executor; above this many rows joins shuffle instead.
 BROADCAST_ROWS = 200_000
 
+_FOLDER = "spark.checkpoint.dir"
 
-def _ensure_folder(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+
+def staging_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where a local session names none."""
+    folder = spark.conf.get(_FOLDER, None)
     if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="leadspark-checkpoint-")
-    context.setCheckpointDir(folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {_FOLDER} to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="leadspark-")
+        spark.conf.set(_FOLDER, folder)
+    return folder
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it from there afterwards."""
-    _ensure_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once and read it from there afterwards.
+
+    This cuts lineage (a lost executor recomputes nothing before this point), computes shared work once,
+    and gives the optimizer true sizes; being columnar, later reads fetch only the columns they use.
+    """
+    path = f"{staging_folder(df.sparkSession)}/leadspark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
