@@ -14,7 +14,7 @@ from leadspark.operators.rows import col
 from leadspark.operators.staging import materialize, small_side
 from leadspark.plans.organize import Organized, as_date, as_stamp
 from leadspark.profile import Profile, load_profile, normalize_header
-from leadspark.sources.intake import INNER_BREAKS, Intake
+from leadspark.sources.intake import INNER_BREAKS, Intake, list_files, read_lines
 
 FACTS = "file_id string, skipped bigint"
 
@@ -67,16 +67,20 @@ def project_cards(leads: DataFrame, profile: Profile, stamp: Column) -> DataFram
 def organize_files(spark: SparkSession, path: str, profile: str | dict | Profile = "default",
                    as_of: str = "now", layout: str | None = None) -> tuple[Organized, Intake]:
     """Organize every file below ``path``. ``layout`` forces one layout on all non-linear files."""
+    return organize_lines(Intake(read_lines(spark, path), list_files(spark, path)), profile, as_of, layout)
+
+
+def organize_lines(intake: Intake, profile: str | dict | Profile = "default", as_of: str = "now",
+                   layout: str | None = None) -> tuple[Organized, Intake]:
     profile = load_profile(profile)
-    intake = Intake(spark, path)
+    spark = intake.profile.sparkSession
     rows, stamp, today = intake.filled_rows, as_stamp(as_of), as_date(as_of)
     routed = route(layout_counts(rows), locate_header(rows, profile))
     if layout:
         routed = routed.withColumn("layout", F.lit(layout))
     routed = small_side(routed)
     present = {r["layout"] for r in routed.select("layout").distinct().collect()}
-    names = "file_id string, dropped_headers array<string>, unmapped_headers array<string>"
-    frames, skipped, listed, synthesized = [], [], [spark.createDataFrame([], names)], []
+    frames, skipped, listed, synthesized = [], [], [], []
 
     if "header" in present:
         headed = rows.join(routed.where("layout = 'header'").select("file_id", "header_src"), "file_id")

@@ -29,6 +29,12 @@ class Refined:
         self.__dict__["judged"] = materialize(self.judged)
         return self
 
+    def fix_results(self) -> Refined:
+        """Fix group members and scores as well."""
+        self.__dict__["members"] = materialize(self.members)
+        self.__dict__["scores"] = materialize(self.scores)
+        return self
+
     @property
     def violations(self) -> DataFrame:
         return rules.violation_rows(self.judged)

@@ -8,6 +8,7 @@ stitched by a distributed running state instead of a one-task multi-line reader.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,23 +27,27 @@ CP1252_UNDEFINED = r"[\x81\x8d\x8f\x90\x9d]"
 INNER_BREAKS = r"[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file_id, src, line)`` of every line, blank ones included.
+def with_places(text: DataFrame) -> DataFrame:
+    """``(file_id, src, head, line)`` from a text scan carrying ``value``, ``file_path`` and ``file_block_start``.
 
     ``src`` increases within a file: a line starts at its own byte, so twice the block's byte offset plus the
     line's index in the block is unique and ordered.
     """
-    text = spark.read.option("recursiveFileLookup", "true").text(path)
     index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return text.select(F.col("_metadata.file_path").alias("file_id"),
-                       (F.col("_metadata.file_block_start") * 2 + index).alias("src"),
-                       (F.col("_metadata.file_block_start") == 0).alias("head"), F.col("value").alias("line"))
+    return text.select(F.col("file_path").alias("file_id"), (F.col("file_block_start") * 2 + index).alias("src"),
+                       (F.col("file_block_start") == 0).alias("head"), F.col("value").alias("line"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line below ``path``, blank ones included."""
+    text = spark.read.option("recursiveFileLookup", "true").text(path)
+    return with_places(text.select("value", "_metadata.file_path", "_metadata.file_block_start"))
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Every file, empty ones too, without reading contents."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
-        F.col("_metadata.file_path").alias("file_id"), F.col("length"))
+    """Every file below ``path``, empty ones too (names only; the scan's own listing holds them anyway)."""
+    names = spark.read.option("recursiveFileLookup", "true").text(path).inputFiles()
+    return spark.createDataFrame([(re.sub("^file:/+", "file:/", n),) for n in names], "file_id string")
 
 
 # ------------------------------------------------------------------------------------ quoting
@@ -100,7 +105,7 @@ def _label_count(line: Column, pattern: str, unless: str | None = None) -> Colum
     return F.when(maybe, F.size(F.filter(F.split(line, INNER_BREAKS), hit))).otherwise(0)
 
 
-def profile_files(lines: DataFrame, files: DataFrame) -> DataFrame:
+def profile_files(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """One row per file: kind, encoding, delimiter, first position, card label counts."""
     line, raw = F.col("line"), F.col("line").cast("binary")
     valid = F.is_valid_utf8(line)
@@ -130,7 +135,9 @@ def profile_files(lines: DataFrame, files: DataFrame) -> DataFrame:
             .when(F.col("filled"), "text").otherwise("empty"))
     encoding = F.when(F.col("valid"), "utf-8").when(F.col("undefined"), "iso-8859-1").otherwise("windows-1252")
     linear = (F.col("names") >= fv.CARD_MIN_LABELS) & (F.col("births") >= fv.CARD_MIN_LABELS)
-    return files.select("file_id").join(whole, "file_id", "left").join(vote_delimiter(folded), "file_id", "left").select(
+    if files is not None:
+        whole = files.join(whole, "file_id", "left")
+    return whole.join(vote_delimiter(folded), "file_id", "left").select(
         "file_id", F.coalesce(kind, F.lit("empty")).alias("kind"), encoding.alias("encoding"),
         F.coalesce("delimiter", F.lit(fv.DELIMITERS[0])).alias("delimiter"), "first_src",
         F.coalesce("broken", F.lit(False)).alias("broken"), F.coalesce(linear, F.lit(False)).alias("linear"))
@@ -196,11 +203,10 @@ def has_cells(cells: str = "cells") -> Column:
 
 
 class Intake:
-    """The files below a path: their profile, decoded lines of card files, and cell rows of the others."""
+    """Files given by their lines: their profile, decoded lines of card files, and cell rows of the others."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        lines = read_lines(spark, path)
-        self.profile = small_side(profile_files(lines, list_files(spark, path)))
+    def __init__(self, lines: DataFrame, files: DataFrame | None = None) -> None:
+        self.profile = small_side(profile_files(lines, files))
         texts = decode_lines(lines, self.profile)
         self.linear_lines = texts.where("linear").select("file_id", "src", "text")
         tables = texts.where("NOT linear")
