@@ -165,9 +165,9 @@ def carrier(value: Column) -> Column:
 
 def carrier_mention(value: Column) -> Column:
     """First carrier pattern (in order of precedence) found in free text."""
-    return reduce(lambda chain, item: chain.when(value.rlike(f"(?iu){item[0]}"), F.lit(item[1])),
+    return reduce(lambda chain, item: chain.when(value.rlike(f"(?iU){item[0]}"), F.lit(item[1])),
                   fv.CARRIER_MENTIONS[1:],
-                  F.when(value.rlike(f"(?iu){fv.CARRIER_MENTIONS[0][0]}"), F.lit(fv.CARRIER_MENTIONS[0][1])))
+                  F.when(value.rlike(f"(?iU){fv.CARRIER_MENTIONS[0][0]}"), F.lit(fv.CARRIER_MENTIONS[0][1])))
 
 
 def age_years(birth: Column, as_of: Column) -> Column:

@@ -56,7 +56,7 @@ def clean_insurance(text: Column) -> Column:
 
 def is_vehicle(text: Column) -> Column:
     """A make and a year somewhere in the text."""
-    return text.rlike("(?iu)" + fv.VEHICLE_MAKES) & text.rlike("(?U)" + fv.CARD_YEAR)
+    return text.rlike("(?iU)" + fv.VEHICLE_MAKES) & text.rlike("(?U)" + fv.CARD_YEAR)
 
 
 def _cut_at_carrier(text: Column) -> Column:
