@@ -124,7 +124,7 @@ def organized(spark: SparkSession, sf_dir: str) -> Organized:
 
 def refined(spark: SparkSession, sf_dir: str) -> Refined:
     """Refinement over fixed leads: its outputs read them several times."""
-    return refine(organized(spark, sf_dir).materialized().materialize_leads()).materialized()
+    return refine(organized(spark, sf_dir).materialize_leads()).materialized()
 
 
 def short(df: DataFrame, *columns: str) -> DataFrame:

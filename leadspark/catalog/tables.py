@@ -245,7 +245,7 @@ SUMMARY_SQL = f"""SELECT s.file_id, count(*) AS input_rows, count(m.src) - count
 @query("run_summary", f"""{STD_CTE} SELECT *, CAST(0 AS BIGINT) AS skipped_non_lead_rows, FALSE AS header_inferred,
   FALSE AS timestamp_synthesized, 'Leads Note' AS dropped, '' AS unmapped FROM ({SUMMARY_SQL})""")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = organized(spark, sf_dir).materialized().summary
+    s = organized(spark, sf_dir).summary
     return s.select("file_id", "input_rows", "output_rows", "duplicates_removed", "empty_rows_skipped",
                     "skipped_non_lead_rows", "header_inferred", "timestamp_synthesized",
                     F.array_join("dropped_headers", "|").alias("dropped"), F.array_join("unmapped_headers", "|").alias("unmapped"))

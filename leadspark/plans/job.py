@@ -15,7 +15,7 @@ from leadspark.sources.intake import Intake
 
 def _finish(organized: Organized, intake: Intake, out_dir: str, settings: str | dict | None) -> Refined:
     # each stage is read by several outputs: fix it once instead of computing it per output
-    refined = refine(organized.materialized().materialize_leads(), settings).materialized()
+    refined = refine(organized.materialize_leads(), settings).materialized()
     refined.fix_results()
     sinks.organized_csv(refined, f"{out_dir}/organized")
     sinks.changes_csv(refined, f"{out_dir}/changes")

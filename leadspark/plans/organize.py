@@ -60,10 +60,11 @@ class Organized:
             F.struct(*[F.coalesce(values.strip(col(c)), F.lit("")).alias(c) for c in self.profile.columns]).alias("raw"))
         return cleaned.withColumn("empty", ~any_present(self.profile.columns))
 
-    def materialized(self) -> Organized:
-        """Fix the standardized rows in the checkpoint folder, for jobs that read them more than once."""
-        self.__dict__["standardized"] = materialize(self.standardized)
-        return self
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The standardized rows, written once: duplicate keys, numbering and reports all read them, and
+        none of them should repeat the value work (or have it inlined into their filters)."""
+        return materialize(self.standardized)
 
     @cached_property
     def changes(self) -> Column:
@@ -80,7 +81,7 @@ class Organized:
     def marked(self) -> DataFrame:
         """Rows with some value, each flagged whether an earlier row duplicates it."""
         keys = [k for k in self.profile.dedupe_on if k in self.names]
-        filled = self.standardized.where(~F.col("empty")).withColumn("changes", self.changes).drop("raw", "empty")
+        filled = self.stored.where(~F.col("empty")).withColumn("changes", self.changes).drop("raw", "empty")
         return mark_duplicates(filled, keys)
 
     @cached_property
@@ -120,7 +121,7 @@ class Organized:
                 F.count_if(after.isNull()).alias("na"),
                 F.count_if(after.isNotNull() & (after != F.col("raw").getField(name))).alias("fixed"))
 
-        wide = self.standardized.groupBy("file_id").agg(F.array(*[counts(c) for c in self.profile.columns]).alias("c"))
+        wide = self.stored.groupBy("file_id").agg(F.array(*[counts(c) for c in self.profile.columns]).alias("c"))
         return wide.select("file_id", F.explode("c").alias("c")).select("file_id", "c.column", "c.na", "c.fixed")
 
     @property
@@ -131,7 +132,7 @@ class Organized:
     @property
     def counts(self) -> DataFrame:
         """Row counts per file."""
-        totals = self.standardized.groupBy("file_id").agg(
+        totals = self.stored.groupBy("file_id").agg(
             F.count("*").alias("input_rows"), F.count_if("empty").alias("empty_rows_skipped"))
         repeats = self.marked.groupBy("file_id").agg(F.count_if("duplicate").alias("duplicates_removed"))
         joined = totals.join(repeats, "file_id", "left").withColumn(
