@@ -118,13 +118,30 @@ def headed_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
         "src", F.expr(FILE_OF).alias("file"), *[F.col(c).alias(h) for c, h in HEADS.items()])
 
 
+# Queries over the same leads share their stored tables within one Spark application.
+_SHARED: dict[tuple[str, str, str], object] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SHARED:
+        _SHARED[key] = build()
+    return _SHARED[key]
+
+
+def forget_shared() -> None:
+    """Make the next query compute everything from the given tables again."""
+    _SHARED.clear()
+
+
 def organized(spark: SparkSession, sf_dir: str) -> Organized:
-    return organize_table(headed_leads(spark, sf_dir), PROFILE, AS_OF, order_col="src", file_col="file")
+    return shared(spark, sf_dir, "organized", lambda: organize_table(
+        headed_leads(spark, sf_dir), PROFILE, AS_OF, order_col="src", file_col="file"))
 
 
 def refined(spark: SparkSession, sf_dir: str) -> Refined:
-    """Refinement over fixed leads: its outputs read them several times."""
-    return refine(organized(spark, sf_dir).materialize_leads()).materialized()
+    """Refinement over stored leads: its outputs read them several times."""
+    return shared(spark, sf_dir, "refined", lambda: refine(organized(spark, sf_dir).materialize_leads()).materialized())
 
 
 def short(df: DataFrame, *columns: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from leadspark import fixed_values as fv
 from leadspark.functions.binding import let
 from leadspark.functions.values import SPACE, carrier_mention, digits, strip
+from leadspark.operators.staging import materialize
 
 FLAGS = "(?idU)"
 CARD_COLUMNS = ["Full Name", "Email", "Date of Birth", "Phone Number", "Address", "ZIP Code", "Homeowner", "Autos",
@@ -149,7 +150,8 @@ def _with_state(parts: Column, city: Column, state: Column) -> Column:
 
 def extract_leads(cells: DataFrame) -> DataFrame:
     """``(file_id, src, <card columns>)``, one row per card that has a name; ``src`` is the lead's place."""
-    found = classify_cells(cells)
+    # the lists and every scalar read the classified cells, so classify once
+    found = materialize(classify_cells(cells).where("value IS NOT NULL"))
 
     def first(kind_test: Column, value: Column) -> Column:
         return F.min_by(value, F.when(kind_test & value.isNotNull(), F.col("ord")))
