@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -163,11 +162,26 @@ def carrier(value: Column) -> Column:
     return F.coalesce(exact, F.element_at(lookup, near), name(value))
 
 
+# A piece of text every match of the carrier pattern holds, in the order of the patterns: a plain substring search
+# spares most texts the pattern itself.
+_MENTION_PIECES = ["bureau", "farm", "progr", "co", "usaa", "allstate", "liberty", "hartford", "auto", "aaa", "national",
+                   "nation", "mercury", "cincinnati", "direct", "auto", "brist", "root", "travelers", "farmers",
+                   "assurance", "alpha", "insurance"]
+
+
 def carrier_mention(value: Column) -> Column:
     """First carrier pattern (in order of precedence) found in free text."""
-    return reduce(lambda chain, item: chain.when(value.rlike(f"(?iU){item[0]}"), F.lit(item[1])),
-                  fv.CARRIER_MENTIONS[1:],
-                  F.when(value.rlike(f"(?iU){fv.CARRIER_MENTIONS[0][0]}"), F.lit(fv.CARRIER_MENTIONS[0][1])))
+    # the letters that case-insensitive patterns equate with i, s and k
+    folded = F.lower(F.translate(value, "\u0131\u0130\u017f\u212a", "iisk"))
+
+    def search(low: Column) -> Column:
+        chain = None
+        for piece, (pattern, name) in zip(_MENTION_PIECES, fv.CARRIER_MENTIONS, strict=True):
+            hit = low.contains(piece) & value.rlike(f"(?iU){pattern}")
+            chain = F.when(hit, F.lit(name)) if chain is None else chain.when(hit, F.lit(name))
+        return chain
+
+    return let(folded, search)
 
 
 def age_years(birth: Column, as_of: Column) -> Column:

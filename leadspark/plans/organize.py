@@ -156,8 +156,9 @@ class Organized:
 def map_table(df: DataFrame, profile: Profile, skip: tuple[str, ...] = ("file_id", "src"),
               fuzzy: bool = True) -> list:
     """Classified headers of one table (a row per column, so collecting them is bounded by its width)."""
-    headers = [("table", i, c) for i, c in enumerate(c for c in df.columns if c not in skip)]
-    table = df.sparkSession.createDataFrame(headers, "file_id string, ordinal int, header string")
+    names = F.array(*[F.lit(c) for c in df.columns if c not in skip])
+    table = df.sparkSession.range(0, 1, 1, 1).select(F.lit("table").alias("file_id"),
+                                                     F.posexplode(names).alias("ordinal", "header"))
     return sorted(mapping.classify_headers(table, profile, fuzzy).collect(), key=lambda r: r["ordinal"])
 
 
