@@ -6,6 +6,8 @@ them back is checked against what was put in.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +21,10 @@ from leadspark.operators.labeled import labeled_leads as read_labeled
 from leadspark.operators.layout import (banner_blocks as mark_blocks, grid_cells, layout_counts as count_layouts,
                                         linear_cells, locate_header, route)
 from leadspark.operators.rows import col
-from leadspark.operators.staging import materialize
-from leadspark.plans.files import header_plan, header_table, project_rows
+from leadspark.operators.staging import materialize, staging_folder
+from leadspark.plans.files import header_plan, header_table, organize_files, project_rows
 from leadspark.plans.organize import Organized, as_stamp
-from leadspark.sources.intake import INNER_BREAKS, cell_rows, has_cells
+from leadspark.sources.intake import INNER_BREAKS, cell_rows, has_cells, label_count
 
 # ------------------------------------------------------------------------------------ headed and header-less sheets
 
@@ -179,6 +181,39 @@ def recombine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("src", infer.join_parts(F.col("cells"), F.array(*[F.lit(i) for i in range(3)]), F.lit(", ")).alias("joined"))
 
 
+# ------------------------------------------------------------------------------------ files
+
+_DELIMITED = ["raw_timestamp", "raw_name", "raw_dob", "raw_street", "raw_city", "raw_phone", "raw_zip", "raw_homeowner",
+              "raw_autos", "raw_carrier", "quoted_vehicles", "raw_email"]
+
+
+@query("folder_leads", f"""{STD_CTE}, refiled AS (SELECT * EXCLUDE (file_id), CAST(src - src % 100 AS BIGINT) AS f FROM std
+    WHERE coalesce({", ".join(TARGETS)}) IS NOT NULL),
+  kept AS (SELECT * FROM (SELECT *, coalesce(phone IS NOT NULL AND name IS NOT NULL AND src > min(src) OVER (
+    PARTITION BY f, lower(phone), lower(name)), FALSE) AS dup FROM refiled) WHERE NOT dup)
+  SELECT f, row_number() OVER (PARTITION BY f ORDER BY src) AS row, {", ".join(TARGETS)}, email FROM kept""")
+def folder_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All leads written as delimited files (three delimiters, quoted cells with line breaks, junk above the
+    header), then read back by the folder intake: detected, mapped, standardized, de-duplicated, numbered."""
+    f = F.col("src") - F.col("src") % 100
+    leads = raw_leads(spark, sf_dir).withColumn("f", f).withColumn(
+        "quoted_vehicles", F.concat(F.lit('"'), F.replace("raw_vehicles", F.lit(" / "), F.lit("\n/ ")), F.lit('"')))
+    delimiter = F.element_at(F.array(F.lit(","), F.lit(";"), F.lit("|")), (F.col("f") / 100 % 3 + 1).cast("int"))
+
+    def joined(values: list):
+        return F.concat_ws("", *[p for i, v in enumerate(values) for p in ([delimiter] if i else []) + [F.coalesce(v, F.lit(""))]])
+
+    body = leads.select("f", F.col("src").alias("place"), joined([F.col(c) for c in _DELIMITED]).alias("value"))
+    head = leads.where("src % 100 = 0").select(
+        "f", (F.col("src") - 0.5).alias("place"), F.concat(F.lit("LEADS EXPORT\n\n"), joined([F.lit(h) for h in HEADER])).alias("value"))
+    folder = f"{staging_folder(spark)}/folder-leads-{uuid.uuid4().hex}"
+    lines = body.withColumn("place", F.col("place").cast("double")).unionByName(head.withColumn("place", F.col("place").cast("double")))
+    lines.repartition("f").sortWithinPartitions("f", "place").select("f", "value").write.partitionBy("f").text(folder)
+    done, _ = organize_files(spark, folder, PROFILE, AS_OF)
+    number = F.regexp_extract("file_id", "f=([0-9]+)/", 1).cast("bigint").alias("f")
+    return done.leads.select(number, "row", *[col(c).alias(SHORT[c]) for c in [*PROFILE.columns, "Email"]])
+
+
 # ------------------------------------------------------------------------------------ cards
 
 _CARD = ["'Name: ' || raw_name", "'D.O.B : ' || raw_dob", "'Number: ' || raw_phone", "'Email: ' || raw_email",
@@ -259,6 +294,15 @@ def linear_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return short(extract_leads(linear_cells(linear_lines(spark, sf_dir), INNER_BREAKS)), *_CARD_OUT)
 
 
+@query("linear_detect", f"""{LEADS_CTE} SELECT CAST(src - src % 100 AS VARCHAR) AS file_id, count(*) FILTER (src % 50 <> 33 AND raw_name IS NOT NULL) AS names,
+  count(*) FILTER (src % 50 <> 33 AND raw_dob IS NOT NULL) AS births FROM raw_leads GROUP BY 1""")
+def linear_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name and birth label lines per file, which tell linear card files from tables."""
+    return linear_lines(spark, sf_dir).groupBy("file_id").agg(
+        F.sum(label_count(F.col("text"), fv.LINE_NAME)).alias("names"),
+        F.sum(label_count(F.col("text"), fv.LINE_DOB, fv.LINE_NAME)).alias("births"))
+
+
 @query("autos_fallback", f"""{LEADS_CTE} SELECT src, CASE WHEN src % 4 = 0 THEN '2' WHEN len(v) > 0 THEN CAST(len(v) AS VARCHAR) END AS autos
   FROM (SELECT src, list_filter(string_split(coalesce(raw_vehicles, ''), ' / '), lambda x: x <> '') AS v FROM raw_leads)""")
 def autos_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:

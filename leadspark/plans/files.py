@@ -14,7 +14,7 @@ from leadspark.operators.rows import col
 from leadspark.operators.staging import materialize, small_side
 from leadspark.plans.organize import Organized, as_date, as_stamp
 from leadspark.profile import Profile, load_profile, normalize_header
-from leadspark.sources.intake import INNER_BREAKS, Intake, list_files, read_lines
+from leadspark.sources.intake import INNER_BREAKS, Intake, list_files, ragged_rows, read_lines
 
 FACTS = "file_id string, skipped bigint"
 
@@ -143,16 +143,18 @@ def _facts(intake: Intake, routed: DataFrame, skipped: list[DataFrame], listed:
         F.col("target") == (profile.synthesized_column or "")).select("file_id", F.lit(True).alias("_stamped")).distinct()
     layout = F.when(F.col("linear"), "linear").when(F.col("kind") != "text", F.col("kind")).otherwise(
         F.coalesce("layout", F.lit("empty")))
+    ragged = ragged_rows(intake.rows)
     lists = union(listed, "file_id string, dropped_headers array<string>, unmapped_headers array<string>")
     table = (intake.profile.select("file_id", "kind", "linear").join(routed, "file_id", "left")
              .join(union(skipped, FACTS), "file_id", "left").join(intake.blank_rows, "file_id", "left")
-             .join(lists, "file_id", "left").join(stamped, "file_id", "left"))
+             .join(lists, "file_id", "left").join(stamped, "file_id", "left").join(ragged, "file_id", "left"))
     inferred = F.col("layout").isin("linear", "grid", "labeled", "inferred")
     return materialize(table.select(
         "file_id", layout.alias("layout"),
         F.when(layout.isin("empty", "xlsx", "xls"), F.lit(0).cast("bigint")).otherwise(
             F.coalesce("skipped", F.lit(0).cast("bigint")) + F.coalesce("blank_rows", F.lit(0).cast("bigint")))
         .alias("skipped_non_lead_rows"),
+        F.coalesce("ragged_rows", F.lit(0).cast("bigint")).alias("ragged_rows"),
         F.coalesce("dropped_headers", none).alias("dropped_headers"),
         F.coalesce("unmapped_headers", none).alias("unmapped_headers"),
         (F.col("_stamped").isNull() & ~layout.isin("empty", "xlsx", "xls")

@@ -96,7 +96,7 @@ def split_cells(text: Column, delimiter: Column) -> Column:
 
 # ------------------------------------------------------------------------------------ profiling
 
-def _label_count(line: Column, pattern: str, unless: str | None = None) -> Column:
+def label_count(line: Column, pattern: str, unless: str | None = None) -> Column:
     def hit(part: Column) -> Column:
         found = strip(part).rlike(f"(?idU){pattern}")
         return found & ~strip(part).rlike(f"(?idU){unless}") if unless else found
@@ -117,8 +117,8 @@ def profile_files(lines: DataFrame, files: DataFrame | None = None) -> DataFrame
         "file_id", "src", *counts, valid.alias("valid"), broken.alias("broken"),
         F.when(~valid, F.decode(raw, "ISO-8859-1").rlike(CP1252_UNDEFINED)).otherwise(F.lit(False)).alias("undefined"),
         F.hex(F.substring(raw, 1, 8)).alias("magic"), (strip(line) != "").alias("filled"),
-        _label_count(line, fv.LINE_NAME).alias("names"),
-        _label_count(line, fv.LINE_DOB, fv.LINE_NAME).alias("births"))
+        label_count(line, fv.LINE_NAME).alias("names"),
+        label_count(line, fv.LINE_DOB, fv.LINE_NAME).alias("births"))
     # distinct delimiter counts are few, so this first grouping is small after the map-side combine
     folded = seen.groupBy("file_id", *[f"c{i}" for i in range(len(fv.DELIMITERS))]).agg(
         F.count("*").alias("n"), F.min("src").alias("first_src"), F.min_by("magic", "src").alias("magic"),
