@@ -10,46 +10,46 @@ from leadspark.functions.values import carrier_mention, literal_map
 from leadspark.operators.cards import auto_count
 from leadspark.operators.layout import long_cells
 from leadspark.operators.ordering import running
+from leadspark.operators.staging import materialize
 
 FIELDS = list(dict.fromkeys(fv.LABELED_FIELDS.values()))
 SEGMENT_BITS = 40  # a lead's place is (column, segment) packed into one BIGINT
 
 
+VEHICLE_LABELS = ["year", "make", "model"]
+
+
 def segments(rows: DataFrame) -> DataFrame:
-    """Tokens ``(file_id, lead, src, text)``: every column cut at each contact banner."""
+    """Tokens ``(file_id, lead, n, text, low)``: every column cut at each contact banner, ``n`` its token number."""
     marked = long_cells(rows).withColumn("low", F.lower("text"))
     starts = (F.col("low") == fv.LABELED_BANNER).cast("bigint")
-    cut = running(marked, ["file_id", "col"], "src", {"segment": ("sum", starts)})
+    cut = running(marked, ["file_id", "col"], "src", {"segment": ("sum", starts), "n": ("sum", F.lit(1).cast("bigint"))})
     with_banner = marked.where(F.col("low") == fv.LABELED_BANNER).select("file_id", "col").distinct()
     headless = cut.where("segment = 0").join(with_banner, ["file_id", "col"], "left_anti")
     return cut.where("segment > 0").unionByName(headless.select(cut.columns)).select(
         "file_id", (F.shiftleft(F.col("col").cast("bigint"), SEGMENT_BITS) + F.col("segment")).alias("lead"),
-        "src", "text")
-
+        "n", "text", "low")
 
-def _struct_of(names: list[str], value) -> Column:
-    return F.struct(*[value(n).alias(n) for n in names])
 
+def walk_fields(labels: Column, end: Column) -> Column:
+    """Fold the labels of the contact section: an unseen label takes the next token, unless that is a label itself.
 
-def walk_fields(steps: Column) -> Column:
-    """Fold the contact section: an unseen label takes the next token, unless that is a label itself.
-
-    ``steps`` holds, per token of the section, its field (or NULL), the next token of the section (or NULL) and
-    whether that is a label. Either way a label that was open consumes both tokens.
+    Either way a label that was open consumes both tokens, so a label right behind it is no label.
     """
-    start = F.struct(F.lit(False).alias("skip"), *[F.lit(None).cast("string").alias(f) for f in FIELDS])
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), *[F.lit(None).cast("string").alias(f) for f in FIELDS])
 
-    def step(state: Column, s: Column) -> Column:
-        seen = F.coalesce(*[F.when((s["field"] == f) & state[f].isNotNull(), True) for f in FIELDS], F.lit(False))
-        takes = ~state["skip"] & s["field"].isNotNull() & ~seen & s["next"].isNotNull()
-        return F.struct(takes.alias("skip"), *[
-            F.when(takes & (s["field"] == f) & ~s["next_is_label"], s["next"]).otherwise(state[f]).alias(f)
+    def step(state: Column, t: Column) -> Column:
+        seen = F.coalesce(*[F.when((t["field"] == f) & state[f].isNotNull(), True) for f in FIELDS], F.lit(False))
+        within = F.coalesce(t["n"] + 1 < end, F.lit(True))
+        takes = t["field"].isNotNull() & (t["n"] != state["used"]) & ~seen & t["next"].isNotNull() & within
+        return F.struct(F.when(takes, t["n"] + 1).otherwise(state["used"]).alias("used"), *[
+            F.when(takes & (t["field"] == f) & ~t["next_is_label"], t["next"]).otherwise(state[f]).alias(f)
             for f in FIELDS])
 
-    return F.aggregate(steps, start, step)
+    return F.aggregate(labels, start, step)
 
 
-def walk_vehicles(tokens: Column) -> Column:
+def walk_vehicles(labels: Column) -> Column:
     """Year / Make / Model runs anywhere in the lead, each closed by its model; a make is needed."""
     none = F.lit(None).cast("string")
     start = F.struct(none.alias("year"), none.alias("make"), F.array().cast("array<string>").alias("found"))
@@ -61,38 +61,38 @@ def walk_vehicles(tokens: Column) -> Column:
             & (F.size(state["found"]) < fv.MAX_VEHICLES)
         words = F.filter(F.array(state["year"], state["make"], following),
                          lambda w: w.isNotNull() & ~F.lower(w).isin("year", "make"))
-        return F.struct(
-            F.when(closes, none).when((low == "year") & following.isNotNull(), following).otherwise(state["year"]).alias("year"),
-            F.when(closes, none).when((low == "make") & following.isNotNull(), following).otherwise(state["make"]).alias("make"),
-            F.when(good, F.array_append(state["found"], F.array_join(words, " "))).otherwise(state["found"]).alias("found"))
+        year = F.when((low == "year") & following.isNotNull(), following).otherwise(state["year"])
+        make = F.when((low == "make") & following.isNotNull(), following).otherwise(state["make"])
+        return F.struct(F.when(~closes, year).alias("year"), F.when(~closes, make).alias("make"),
+                        F.when(good, F.array_append(state["found"], F.array_join(words, " "))).otherwise(state["found"])
+                        .alias("found"))
 
-    return F.aggregate(tokens, start, step)["found"]
+    return F.aggregate(labels, start, step)["found"]
 
 
 def labeled_leads(rows: DataFrame) -> DataFrame:
     """``(file_id, src, <card columns>)`` of labeled-column sheets.
 
-    The walk is order-dependent, so the tokens of one lead (one filled-in form) meet in one row.
+    The walk depends on order, but only on label tokens and what follows each: the follower is joined by
+    token number, and the labels of one form are all that meets in one row. Other cells are never gathered.
     """
-    field = F.element_at(literal_map(fv.LABELED_FIELDS), F.lower("text"))
-    tokens = segments(rows).select(
-        "file_id", "lead", F.struct("src", "text", F.lower("text").alias("low"), field.alias("field"),
-                                    carrier_mention(F.col("text")).alias("carrier")).alias("t"))
-    leads = tokens.groupBy("file_id", "lead").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    stop = F.array_position(F.transform("t", lambda t: t["low"]), fv.LABELED_BOUNDARY)
-    leads = leads.withColumn("_end", F.when(stop > 0, stop - 1).otherwise(F.size("t")).cast("int"))
-
-    def at(i: Column, limit: Column, name: str) -> Column:
-        return F.when(i + 1 < limit, F.get("t", i + 1)[name])
-
-    section = F.transform("t", lambda t, i: F.struct(
-        t["field"].alias("field"), at(i, F.col("_end"), "text").alias("next"),
-        at(i, F.col("_end"), "field").isNotNull().alias("next_is_label")))
-    everything = F.transform("t", lambda t, i: F.struct(t["low"].alias("low"), at(i, F.size("t"), "text").alias("next")))
-    beyond = F.filter(F.transform("t", lambda t, i: F.when(i >= F.col("_end"), t["carrier"])), lambda c: c.isNotNull())
-    walked = leads.select(
-        "file_id", F.col("lead").alias("src"), walk_fields(F.slice(section, F.lit(1), F.col("_end"))).alias("f"),
-        walk_vehicles(everything).alias("vehicles"), F.get(beyond, F.lit(0)).alias("carrier"))
+    place = ["file_id", "lead"]
+    tokens = materialize(segments(rows))
+    fields = literal_map(fv.LABELED_FIELDS)
+    following = tokens.select(*place, (F.col("n") - 1).alias("n"), F.col("text").alias("next"),
+                              F.element_at(fields, F.col("low")).isNotNull().alias("next_is_label"))
+    labels = tokens.withColumn("field", F.element_at(fields, F.col("low"))).where(
+        F.col("field").isNotNull() | F.col("low").isin(VEHICLE_LABELS)).join(following, [*place, "n"], "left")
+    ends = tokens.where(F.col("low") == fv.LABELED_BOUNDARY).groupBy(*place).agg(F.min("n").alias("end"))
+    mentions = tokens.select(*place, "n", carrier_mention(F.col("text")).alias("mention")).where("mention IS NOT NULL")
+    carriers = mentions.join(ends, place).where("n >= end").groupBy(*place).agg(F.min_by("mention", "n").alias("carrier"))
+    forms = labels.groupBy(*place).agg(
+        F.sort_array(F.collect_list(F.struct("n", "low", "field", "next", "next_is_label"))).alias("labels"))
+    forms = forms.join(ends, place, "left")
+    section = F.filter("labels", lambda t: F.coalesce(t["n"] < F.col("end"), F.lit(True)))
+    walked = forms.join(carriers, place, "left").select(
+        "file_id", F.col("lead").alias("src"), walk_fields(section, F.col("end")).alias("f"),
+        walk_vehicles(F.col("labels")).alias("vehicles"), "carrier")
 
     def joined(names: list[str], separator: str) -> Column:
         return F.concat_ws(separator, *[F.col(f"f.{n}") for n in names])
