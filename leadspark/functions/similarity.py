@@ -13,20 +13,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Words a task remembers before it starts afresh, so that its memory stays bounded.
+REMEMBERED = 100_000
+
+
 def closest(value: Column, vocabulary: list[str], cutoff: float) -> Column:
     """Best vocabulary entry with ratio >= cutoff (ties: the largest entry), else NULL."""
-    words = list(vocabulary)
+    words, limit = list(vocabulary), REMEMBERED
+    known = {None: None}  # filled by each task for the words it meets
 
     @F.pandas_udf("string")
     def closest_entry(values):
         import difflib
 
-        best = {}
-        for word in values.dropna().unique():
-            hit = difflib.get_close_matches(word, words, n=1, cutoff=cutoff)
-            if hit:
-                best[word] = hit[0]
-        return values.map(best).astype(object).where(values.isin(list(best)), None)
+        import pandas as pd
+
+        if len(known) > limit:
+            known.clear()
+            known[None] = None
+        for word in values.unique():
+            if word not in known:
+                hit = difflib.get_close_matches(word, words, n=1, cutoff=cutoff)
+                known[word] = hit[0] if hit else None
+        return pd.Series([known[v] for v in values], dtype=object)
 
     return closest_entry(value)
 
@@ -41,14 +50,12 @@ def closest_with_confidence(value: Column, vocabulary: list[str], cutoff: float)
 
         import pandas as pd
 
-        best = {}
+        best = {None: (None, None, None)}
         for word in values.dropna().unique():
             hit = difflib.get_close_matches(word, words, n=1, cutoff=cutoff)
-            if hit:
-                ratio = difflib.SequenceMatcher(None, word, hit[0]).ratio()
-                best[word] = (hit[0], ratio, round(ratio, 2))
-        rows = [best.get(v, (None, None, None)) for v in values]
-        return pd.DataFrame(rows, columns=["entry", "ratio", "confidence"])
+            ratio = difflib.SequenceMatcher(None, word, hit[0]).ratio() if hit else None
+            best[word] = (hit[0], ratio, round(ratio, 2)) if hit else best[None]
+        return pd.DataFrame([best[v] for v in values], columns=["entry", "ratio", "confidence"])
 
     return closest_scored(value)
 
