@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadspark import fixed_values as fv
@@ -24,7 +24,8 @@ from leadspark.operators.rows import col
 from leadspark.operators.staging import materialize, staging_folder
 from leadspark.plans.files import header_plan, header_table, organize_files, project_rows
 from leadspark.plans.organize import Organized, as_stamp
-from leadspark.sources.intake import INNER_BREAKS, cell_rows, has_cells, label_count
+from leadspark.sources.intake import (INNER_BREAKS, cell_rows, has_cells, label_count, list_files, profile_files,
+                                      read_lines)
 
 # ------------------------------------------------------------------------------------ headed and header-less sheets
 
@@ -187,31 +188,49 @@ _DELIMITED = ["raw_timestamp", "raw_name", "raw_dob", "raw_street", "raw_city",
               "raw_autos", "raw_carrier", "quoted_vehicles", "raw_email"]
 
 
-@query("folder_leads", f"""{STD_CTE}, refiled AS (SELECT * EXCLUDE (file_id), CAST(src - src % 100 AS BIGINT) AS f FROM std
-    WHERE coalesce({", ".join(TARGETS)}) IS NOT NULL),
-  kept AS (SELECT * FROM (SELECT *, coalesce(phone IS NOT NULL AND name IS NOT NULL AND src > min(src) OVER (
-    PARTITION BY f, lower(phone), lower(name)), FALSE) AS dup FROM refiled) WHERE NOT dup)
-  SELECT f, row_number() OVER (PARTITION BY f ORDER BY src) AS row, {", ".join(TARGETS)}, email FROM kept""")
-def folder_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All leads written as delimited files (three delimiters, quoted cells with line breaks, junk above the
-    header), then read back by the folder intake: detected, mapped, standardized, de-duplicated, numbered."""
-    f = F.col("src") - F.col("src") % 100
-    leads = raw_leads(spark, sf_dir).withColumn("f", f).withColumn(
+def write_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Write all leads as delimited files of a hundred (three delimiters, quoted cells with line breaks, junk above
+    the header) below the staging folder; returns their folder."""
+    place = F.col("src") - F.col("src") % 100
+    leads = raw_leads(spark, sf_dir).withColumn("f", place).withColumn(
         "quoted_vehicles", F.concat(F.lit('"'), F.replace("raw_vehicles", F.lit(" / "), F.lit("\n/ ")), F.lit('"')))
     delimiter = F.element_at(F.array(F.lit(","), F.lit(";"), F.lit("|")), (F.col("f") / 100 % 3 + 1).cast("int"))
 
-    def joined(values: list):
-        return F.concat_ws("", *[p for i, v in enumerate(values) for p in ([delimiter] if i else []) + [F.coalesce(v, F.lit(""))]])
+    def joined(cells: list) -> Column:
+        texts = [F.coalesce(c, F.lit("")) for c in cells]
+        return F.concat(texts[0], *[part for t in texts[1:] for part in (delimiter, t)])
 
-    body = leads.select("f", F.col("src").alias("place"), joined([F.col(c) for c in _DELIMITED]).alias("value"))
+    body = leads.select("f", (F.col("src") * 2 + 1).alias("at"), joined([F.col(c) for c in _DELIMITED]).alias("value"))
     head = leads.where("src % 100 = 0").select(
-        "f", (F.col("src") - 0.5).alias("place"), F.concat(F.lit("LEADS EXPORT\n\n"), joined([F.lit(h) for h in HEADER])).alias("value"))
+        "f", (F.col("src") * 2).alias("at"), F.concat(F.lit("LEADS EXPORT\n\n"), joined([F.lit(h) for h in HEADER])).alias("value"))
     folder = f"{staging_folder(spark)}/folder-leads-{uuid.uuid4().hex}"
-    lines = body.withColumn("place", F.col("place").cast("double")).unionByName(head.withColumn("place", F.col("place").cast("double")))
-    lines.repartition("f").sortWithinPartitions("f", "place").select("f", "value").write.partitionBy("f").text(folder)
-    done, _ = organize_files(spark, folder, PROFILE, AS_OF)
-    number = F.regexp_extract("file_id", "f=([0-9]+)/", 1).cast("bigint").alias("f")
-    return done.leads.select(number, "row", *[col(c).alias(SHORT[c]) for c in [*PROFILE.columns, "Email"]])
+    (body.unionByName(head).repartition("f").sortWithinPartitions("f", "at").select("f", "value")
+     .write.partitionBy("f").text(folder))
+    return folder
+
+
+def file_number() -> Column:
+    return F.regexp_extract("file_id", "f=([0-9]+)/", 1).cast("bigint").alias("f")
+
+
+@query("file_profiles", f"""{LEADS_CTE} SELECT CAST(src - src % 100 AS BIGINT) AS f, 'text' AS kind, 'utf-8' AS encoding,
+  [',', ';', '|'][CAST((src - src % 100) / 100 % 3 + 1 AS INT)] AS delimiter, FALSE AS linear FROM raw_leads WHERE src % 100 = 0""")
+def file_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kind, encoding and delimiter of delimited files written from all leads."""
+    folder = write_folder(spark, sf_dir)
+    found = profile_files(read_lines(spark, folder), list_files(spark, folder)).where("kind <> 'empty'")
+    return found.select(file_number(), "kind", "encoding", "delimiter", "linear")
+
+
+@query("folder_leads", f"""{STD_CTE}, refiled AS (SELECT * EXCLUDE (file_id), CAST(src - src % 100 AS BIGINT) AS f FROM std
+    WHERE coalesce({", ".join(TARGETS)}) IS NOT NULL),
+  kept AS (SELECT * FROM (SELECT *, coalesce(phone IS NOT NULL AND name IS NOT NULL AND src > min(src) OVER (
+    PARTITION BY f, lower(phone), lower(name)), FALSE) AS dup FROM refiled) WHERE NOT dup)
+  SELECT f, row_number() OVER (PARTITION BY f ORDER BY src) AS row, {", ".join(TARGETS)}, email FROM kept""")
+def folder_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written files read back by the folder intake: detected, mapped, standardized, de-duplicated, numbered."""
+    done, _ = organize_files(spark, write_folder(spark, sf_dir), PROFILE, AS_OF)
+    return done.leads.select(file_number(), "row", *[col(c).alias(SHORT[c]) for c in [*PROFILE.columns, "Email"]])
 
 
 # ------------------------------------------------------------------------------------ cards

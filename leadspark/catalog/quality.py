@@ -180,6 +180,14 @@ def penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file_id", "row", "penalty", F.array_join("issues", "|").alias("issues"))
 
 
+@query("avg_score", f"""{JUDGED_CTE} SELECT file_id, CAST(round_even(avg(score), 0) AS INTEGER) AS avg_score,
+  count(*) FILTER (score < {_SCORING["review_threshold"]}) AS review_rows FROM scored GROUP BY file_id""")
+def avg_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = refined(spark, sf_dir).scores
+    return found.groupBy("file_id").agg(F.bround(F.avg("score")).cast("int").alias("avg_score"),
+                                        F.count_if("review").alias("review_rows"))
+
+
 _STATUS = f"CASE WHEN bad_phone THEN 'invalid' WHEN score < {_SCORING['review_threshold']} THEN 'review' ELSE 'ok' END"
 
 

@@ -71,6 +71,13 @@ def header_map_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.classify_headers(file_headers(spark, sf_dir), PROFILE)
 
 
+@query("header_claims", _mapping_sql(True) + " SELECT file_id, target, header FROM classified WHERE status = 'mapped'")
+def header_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one header each target takes in each file."""
+    found = mapping.classify_headers(file_headers(spark, sf_dir), PROFILE)
+    return found.where("status = 'mapped'").select("file_id", "target", "header")
+
+
 @query("header_report", _mapping_sql(True) + """ SELECT file_id,
   coalesce(string_agg(header, '|' ORDER BY ordinal) FILTER (status = 'dropped'), '') AS dropped,
   coalesce(string_agg(header, '|' ORDER BY ordinal) FILTER (status = 'unmapped'), '') AS unmapped FROM classified GROUP BY file_id""")
@@ -102,6 +109,12 @@ def target_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("file_id", "src", *[F.col("raw").getField(c).alias(SHORT[c]) for c in PROFILE.columns])
 
 
+@query("compose_address", f"{STD_CTE} SELECT src, address FROM std")
+def compose_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Address from street and city columns, missing parts skipped."""
+    return short(organized(spark, sf_dir).standardized, "src", "Address")
+
+
 @query("standardized", f"{STD_CTE} SELECT file_id, src, {', '.join(TARGETS)}, email, age, job FROM std")
 def standardized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All target and auxiliary columns of every input row."""
