@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadspark import fixed_values as fv
-from leadspark.catalog.base import (AS_OF, LEADS_CTE, PROFILE, SHORT, STD_CTE, TARGETS, query, raw_leads, short, sql_date,
+from leadspark.catalog.base import (AS_OF, LEADS_CTE, PROFILE, SHORT, STD_CTE, TARGETS, query, raw_leads, short,
                                     sql_digits, sql_list, sql_text)
 from leadspark.functions.values import fold_read_nulls
 from leadspark.operators import infer, mapping

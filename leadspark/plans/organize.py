@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from leadspark import fixed_values as fv
 from leadspark.functions import values
 from leadspark.operators import mapping
-from leadspark.operators.ordering import number_rows
 from leadspark.operators.rows import any_present, col, mark_duplicates, number_leads
 from leadspark.operators.staging import materialize
 from leadspark.profile import Profile, load_profile
@@ -216,8 +215,3 @@ def organize_table(df: DataFrame, profile: str | dict | Profile = "default", as_
         .alias("timestamp_synthesized"),
         listed(dropped).alias("dropped_headers"), listed(unmapped).alias("unmapped_headers"))
     return Organized(raw, profile, as_of, facts)
-
-
-def numbered(df: DataFrame) -> DataFrame:
-    """1-based position of each row within its file, in input order."""
-    return number_rows(df, ["file_id"], "src", "row")
