@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.llm import records
+from leadspark.llm import records, rules
 from leadspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,11 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = records.with_starts(records.write_records(table(spark, sf_dir, "documents"), TOKENIZER, END_ID))
     return records.read_records(index.select("doc_id", "start", "n_tokens", "file", "offset", "length")).select(
         "doc_id", F.col("start").cast("bigint").alias("start"), "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op5_quality_rules")
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         failed.alias("base_failed"), (~failed & (F.col("p_good") >= 0.5)).alias("kept"), "p_good")

@@ -8,7 +8,7 @@ all little-endian; the checksum is CRC-32, masked by a rotation of 15 bits plus
 contain checksums stay safe. Beside each file lies ``<file>.idx`` with (offset, length) of every frame as two uint64, for
 readers that shuffle without this library; the same facts come back as an index table.
 
-Files are made in ascending order of ``doc_id`` (null first, equal ids by text): rows are range-partitioned, sorted inside
+Files are made in ascending order of ``doc_id`` (null first, equal ids by the text's hash): rows are range-partitioned, sorted inside
 their partition, and encoded and framed by one task per file. A task writes under a name of its own attempt and
 only the index of the attempt that succeeded names the file, so lost executors leave unnamed files at worst. Null texts
 count as empty and give a frame that holds the end id alone. An empty table gives no files. Columns other than ``doc_id``
@@ -107,7 +107,8 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
                 index.write(b"".join(places))
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text(text).cast("binary").alias("text"))
-    placed = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("_tie", F.xxhash64("text"))
+    placed = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").drop("_tie")
     return materialize(placed.mapInArrow(write, INDEX))
 
 
