@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.llm import minhash, records, rules
+from leadspark.llm import minhash, mixing, records, rules
 from leadspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,10 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     compared = minhash.compare_with_edits(table(spark, sf_dir, "documents"))
     return compared.select("doc_id", "n_chars", "edited_sha256", minhash.as_text(F.col("fp")).alias("fingerprint"),
                            minhash.as_text(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query("op7_source_mix", mixing.ORACLE)
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    first = F.round(F.get("placements", F.lit(0))["position"], 6)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("position")).orderBy("position", "doc_id")
