@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.llm import minhash, mixing, records, rules
+from leadspark.llm import minhash, mixing, pu, records, rules
 from leadspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,15 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     first = F.round(F.get("placements", F.lit(0))["position"], 6)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", first.alias("position")).orderBy("position", "doc_id")
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Documents whose labels are never learnt from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    scored = pu.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), labels.select("doc_id", "quality"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
