@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.llm import minhash, mixing, pu, records, rules
+from leadspark.llm import minhash, mixing, pu, records, rules, sharding
 from leadspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,17 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(~held_out())
     scored = pu.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), labels.select("doc_id", "quality"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+SHARDS = 40
+
+
+@query("op2_label_shards")
+def op2_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    items = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.md5(text.cast("binary")).alias("group"))
+    return sharding.assign(items, SHARDS).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"))
