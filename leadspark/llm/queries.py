@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.llm import extract, minhash, mixing, pu, records, rules, sharding
+from leadspark.llm import bpe, extract, minhash, mixing, pu, records, rules, sharding
 from leadspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op2_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_main_text")
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op3_bpe_codec")
+def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER))
