@@ -66,7 +66,7 @@ def due(share: Column, ramp_from: Column, ramp_to: Column) -> Column:
 
 
 def mix(docs: DataFrame, text: str = "text", weights=WEIGHTS, ramps=RAMPS, most: int = MOST) -> DataFrame:
-    """``docs`` without the text, with ``size``, ``source_size``, ``target``, ``taken`` and ``placements``.
+    """``docs`` without the text, with its hash ``_text``, ``size``, ``source_size``, ``target``, ``taken`` and ``placements``.
 
     ``placements`` is an array of (pass, position, words), one for each time the mix takes the document.
     """
@@ -83,8 +83,8 @@ def mix(docs: DataFrame, text: str = "text", weights=WEIGHTS, ramps=RAMPS, most:
         F.least(F.col("size"), wanted - p * F.col("source_size") - F.col("_before")).alias("words"))), lambda x: x["words"] > 0)
     taken = F.aggregate(F.col("placements"), F.lit(0).cast("bigint"), lambda total, x: total + x["words"])
     # Written before anything reads parts of it: the optimizer, when it prunes fields of these structs, loses their values.
-    placed = materialize(j.select(*own, "size", "source_size", "target", passes.alias("placements")))
-    return placed.select(*own, "size", "source_size", "target", taken.alias("taken"), "placements")
+    placed = materialize(j.select(*own, "_text", "size", "source_size", "target", passes.alias("placements")))
+    return placed.select(*own, "_text", "size", "source_size", "target", taken.alias("taken"), "placements")
 
 
 def curriculum(mixed: DataFrame) -> DataFrame:
@@ -93,6 +93,23 @@ def curriculum(mixed: DataFrame) -> DataFrame:
     return mixed.select(*keep, F.explode("placements").alias("_p")).select(*keep, "_p.*").orderBy("position", "source", "doc_id", "pass")
 
 
+def in_order(docs: DataFrame, mixed: DataFrame, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` as often as the mix takes them, in ranges of training positions, sorted inside each.
+
+    A pass of which the mix takes less than half is left out. Positions are even in words, so equal ranges of them make
+    equal partitions; partition k holds the k-th range. ``mixed`` has rows of the same ids and texts.
+    """
+    own = docs.columns
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    passes = F.filter("placements", lambda p: 2 * p["words"] >= F.col("size"))
+    due_ = mixed.select(F.col("doc_id").alias("_doc_id"), "_text", F.transform(passes, lambda p: p["position"]).alias("_at")).where("size(_at) > 0")
+    due_ = due_.groupBy("_doc_id", "_text").agg(F.flatten(F.collect_list("_at")).alias("_at"))
+    keyed = docs.withColumn("_key", F.xxhash64(whole_text(text))).dropDuplicates(["doc_id", "_key"])
+    placed = keyed.join(due_, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_text"))).select(*own, F.explode("_at").alias("_position"))
+    part = F.least(F.lit(ranges - 1), F.floor(F.col("_position") * ranges)).cast("int")
+    return placed.withColumn("_range", part).repartitionById(ranges, "_range").sortWithinPartitions("_position", "doc_id").select(*own)
+
+
 # What ``mix`` gives for documents, in DuckDB.
 ORACLE = """
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),

@@ -19,6 +19,7 @@ either input are not looked at.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -41,11 +42,12 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def measures(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]:
-    """``doc_id`` and the measures of each text (DOUBLE, never null), and the names of the measures."""
+    """``docs`` with the measures of each text as ``_m_`` columns (DOUBLE, never null), and the names of these columns."""
+    own = docs.columns
     t = F.col("_text")
     trimmed = F.btrim(t, F.lit(_SPACES))
-    words = docs.select("doc_id", whole_text(text).alias("_text")).select(
-        "doc_id", "_text", F.when(trimmed == "", F.array().cast("array<bigint>")).otherwise(
+    words = docs.select(*own, whole_text(text).alias("_text")).select(
+        *own, "_text", F.when(trimmed == "", F.array().cast("array<bigint>")).otherwise(
             F.transform(F.split(trimmed, GAPS), lambda w: F.xxhash64(w))).alias("_h"),
         F.filter(F.split(t, "\n"), lambda line: F.btrim(line, F.lit(_SPACES)) != "").alias("_lines"))
     h = F.col("_h")
@@ -67,7 +69,7 @@ def measures(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]
         "variety": _share(F.size(F.array_distinct(h)).cast("double"), F.pow(n, F.lit(0.9))),
         "stutter": _share(F.size(F.filter(h, lambda x, i: x == F.get(h, i - 1))), n),
     }
-    return words.select("doc_id", *[e.cast("double").alias(k) for k, e in found.items()]), list(found)
+    return words.select(*own, *[e.cast("double").alias(f"_m_{k}") for k, e in found.items()]), [f"_m_{k}" for k in found]
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 17) -> list[np.ndarray]:
@@ -100,10 +102,22 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return w
 
 
-def classify(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id`` and ``score`` of every row of ``docs``; ``labels`` holds ``doc_id`` and ``quality`` of the rows to learn from."""
-    measured, names = measures(docs, text)
-    table = materialize(measured)
+@dataclass(frozen=True)
+class Scorer:
+    """A fitted classifier: the score as a column over the measures."""
+
+    score: Column
+
+    def __call__(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """``docs`` with ``score``, 0 to 1, higher where the text is likelier good."""
+        own = [c for c in docs.columns if c != "score"]
+        return measures(docs.select(*own), text)[0].select(*own, self.score.alias("score"))
+
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[Scorer, DataFrame]:
+    """The classifier learnt from ``labels`` (``doc_id`` and ``quality`` of the rows to learn from), and the scored ids of ``docs``."""
+    measured, names = measures(docs.select("doc_id", text), text)
+    table = materialize(measured.drop(text))
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = materialize(known)
     prior = known.agg(F.avg(F.col("quality").cast("double"))).first()[0]
@@ -117,13 +131,18 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFram
     unlabelled = sample(table.join(known.select("doc_id"), "doc_id", "left_anti"), UNLABELLED)
     if not len(unlabelled):
         unlabelled = sample(table, UNLABELLED)
-    if not len(positive):
-        return table.select("doc_id", F.lit(prior).alias("score"))
-    spread = table.agg(*[f(c) for c in names for f in (F.avg, F.stddev_pop)]).first()
-    mean, scale = np.array(spread[::2]), np.maximum(np.array(spread[1::2]), 1e-9)
-    ready = [np.clip((a - mean) / scale, -FAR, FAR) for a in (positive, unlabelled)]
-    w = fit(*ready, prior)
-    return table.select("doc_id", network(names, mean, scale, w).alias("score"))
+    score = F.lit(prior)
+    if len(positive):
+        spread = table.agg(*[f(c) for c in names for f in (F.avg, F.stddev_pop)]).first()
+        mean, scale = np.array(spread[::2]), np.maximum(np.array(spread[1::2]), 1e-9)
+        ready = [np.clip((a - mean) / scale, -FAR, FAR) for a in (positive, unlabelled)]
+        score = network(names, mean, scale, fit(*ready, prior))
+    return Scorer(score), table.select("doc_id", score.alias("score"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """``doc_id`` and ``score`` of every row of ``docs``."""
+    return train(docs, labels, text)[1]
 
 
 def network(names: list[str], mean: np.ndarray, scale: np.ndarray, w: list[np.ndarray]) -> Column:

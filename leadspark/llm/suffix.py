@@ -277,8 +277,26 @@ def remove(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept), runs
 
 
-def dedup(docs: DataFrame, text: str = "text", largest: int = BLOCK) -> DataFrame:
-    """``docs`` without the text, with ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept`` (the other bytes)."""
+def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The merged spans without characters that they cover in part."""
+    merged: list[list[int]] = []
+    for start, stop in sorted(spans):
+        if merged and start <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], stop)
+        else:
+            merged.append([start, stop])
+    for span in merged:
+        for end, step in ((0, 1), (1, -1)):
+            while 0 < span[end] < len(text) and text[span[end]] & 0xC0 == 0x80:
+                span[end] += step
+    return [(a, b) for a, b in merged if a < b]
+
+
+def dedup(docs: DataFrame, text: str = "text", largest: int = BLOCK, characters: bool = False) -> DataFrame:
+    """``docs`` without the text, with ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept`` (the other bytes).
+
+    A run may begin or end inside a character of several bytes; with ``characters`` such a character stays whole.
+    """
     own = [c for c in docs.columns if c not in (text, "n_bytes", "n_removed", "n_spans", "kept")]
     # A row's key: its id (null as the least number) and its text's hash.
     data = whole_text(text).cast("binary")
@@ -293,8 +311,10 @@ def dedup(docs: DataFrame, text: str = "text", largest: int = BLOCK) -> DataFram
 
     def cut(batches):
         for batch in batches:
-            out = [(t, *remove(t, [(s["start"], s["stop"]) for s in spans or ()]))
-                   for t, spans in zip(batch.column(len(own)).to_pylist(), batch.column(len(own) + 1).to_pylist(), strict=True)]
+            out = []
+            for t, spans in zip(batch.column(len(own)).to_pylist(), batch.column(len(own) + 1).to_pylist(), strict=True):
+                spans = [(s["start"], s["stop"]) for s in spans or ()]
+                out.append((t, *remove(t, whole_characters(t, spans) if characters else spans)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(own)], _column([len(t) for t, _, _ in out], pa.int64()),
                  _column([len(t) - len(k) for t, k, _ in out], pa.int64()), _column([r for *_, r in out], pa.int64()),
