@@ -19,8 +19,7 @@ from leadspark.operators.staging import staging_folder
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier holds for good; it learns from the labels that are not held out."""
     labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", "quality")
-    score, _ = pu.train(docs, labels)
-    return score(docs).where("score >= 0.5").select(*docs.columns)
+    return pu.accepted(docs, labels)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ position (a range sort) gives the order of training.
 
 The order within a source is by the MD5 of ``doc_id``, then by id, size and the text's hash, so reruns agree. Sizes are
 words; null and empty texts have none and are never placed. A null source is a source of its own, ranked last. Repeated
-rows are placed each by itself. An empty table gives an empty mix. Other columns are carried along.
+rows are placed each by itself. An empty table gives an empty mix. Other columns are carried along unless
+they bear the name of a result.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ def mix(docs: DataFrame, text: str = "text", weights=WEIGHTS, ramps=RAMPS, most:
 
     ``placements`` is an array of (pass, position, words), one for each time the mix takes the document.
     """
-    own = [c for c in docs.columns if c != text]
+    own = [c for c in docs.columns if c not in (text, "size", "source_size", "target", "taken", "placements")]
     sized = materialize(docs.select(*own, n_words(text).alias("size"), F.xxhash64(whole_text(text)).alias("_text"),
                                     F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_order")))
     goals = targets(sized.select("source", "size"), weights, ramps, most).withColumnRenamed("source", "_source")

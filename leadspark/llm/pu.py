@@ -19,7 +19,6 @@ either input are not looked at.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -102,21 +101,12 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return w
 
 
-@dataclass(frozen=True)
-class Scorer:
-    """A fitted classifier: the score as a column over the measures."""
-
-    score: Column
-
-    def __call__(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """``docs`` with ``score``, 0 to 1, higher where the text is likelier good."""
-        own = [c for c in docs.columns if c != "score"]
-        return measures(docs.select(*own), text)[0].select(*own, self.score.alias("score"))
-
+def classify(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """``doc_id``, ``text_hash`` and ``score`` (0 to 1, higher where the text is likelier good) of every row of ``docs``.
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[Scorer, DataFrame]:
-    """The classifier learnt from ``labels`` (``doc_id`` and ``quality`` of the rows to learn from), and the scored ids of ``docs``."""
-    measured, names = measures(docs.select("doc_id", text), text)
+    ``labels`` holds ``doc_id`` and ``quality`` of the rows to learn from.
+    """
+    measured, names = measures(docs.select("doc_id", F.xxhash64(whole_text(text)).alias("text_hash"), text), text)
     table = materialize(measured.drop(text))
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = materialize(known)
@@ -137,12 +127,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> tuple[Score
         mean, scale = np.array(spread[::2]), np.maximum(np.array(spread[1::2]), 1e-9)
         ready = [np.clip((a - mean) / scale, -FAR, FAR) for a in (positive, unlabelled)]
         score = network(names, mean, scale, fit(*ready, prior))
-    return Scorer(score), table.select("doc_id", score.alias("score"))
+    return table.select("doc_id", "text_hash", score.alias("score"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id`` and ``score`` of every row of ``docs``."""
-    return train(docs, labels, text)[1]
+def accepted(docs: DataFrame, labels: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``least``."""
+    good = classify(docs, labels, text).where(F.col("score") >= least).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    keyed = docs.withColumn("_text_hash", F.xxhash64(whole_text(text)))
+    return keyed.join(good, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi").select(*docs.columns)
 
 
 def network(names: list[str], mean: np.ndarray, scale: np.ndarray, w: list[np.ndarray]) -> Column:

@@ -134,7 +134,7 @@ def posterior(votes: tuple[int, ...], prior: float, accuracy: list[float]) -> fl
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, prior: float = PRIOR) -> DataFrame:
     """``docs`` without the text, with its counts, one vote column per rule and ``p_good``, the posterior probability."""
-    measured = measures(docs, text)
+    measured = measures(docs.drop("p_good", *[f"vote_{r.name}" for r in rules]), text)
     voted = materialize(measured.select("*", *[r.vote().alias(f"vote_{r.name}") for r in rules]))
     columns = [f"vote_{r.name}" for r in rules]
     patterns = sorted((tuple(row[:-1]), row[-1]) for row in voted.groupBy(*columns).count().collect())

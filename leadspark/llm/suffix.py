@@ -300,8 +300,9 @@ def dedup(docs: DataFrame, text: str = "text", largest: int = BLOCK, characters:
     own = [c for c in docs.columns if c not in (text, "n_bytes", "n_removed", "n_spans", "kept")]
     # A row's key: its id (null as the least number) and its text's hash.
     data = whole_text(text).cast("binary")
+    held = [f"_own_{i}" for i in range(len(own))]
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(data).alias("tie"),
-                        *own, data.alias("_text"))
+                        *[F.col(c).alias(h) for c, h in zip(own, held, strict=True)], data.alias("_text"))
     sizes = materialize(texts.select("id", "tie", F.octet_length("_text").alias("n"), F.hash("_text").alias("check")).where(F.col("n") >= LENGTH))
     copies = sizes.groupBy("tie", "n", "check").agg(F.count("*").alias("times"), F.min("id").alias("first")).where("times > 1")
     copied = materialize(sizes.join(copies, ["tie", "n", "check"]).select("id", "tie", "n", (F.col("id") == F.col("first")).alias("stays")).distinct())
@@ -322,4 +323,4 @@ def dedup(docs: DataFrame, text: str = "text", largest: int = BLOCK, characters:
 
     types = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in own), "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"])
-    return texts.join(spans, _KEY, "left").select(*own, "_text", "_spans").mapInArrow(cut, schema)
+    return texts.join(spans, _KEY, "left").select(*held, "_text", "_spans").mapInArrow(cut, schema)
