@@ -53,8 +53,8 @@ SELECT src,
        WHEN src % 5 = 2 THEN '303491234' WHEN src % 5 = 3 THEN '123456' ELSE CAST(30000 + k % 999 AS VARCHAR(5)) || '.0' END AS raw_zip,
   CASE WHEN src % 50 = 33 THEN 'null' WHEN src % 6 = 0 THEN 'OWNER' WHEN src % 6 = 1 THEN 'rented' WHEN src % 6 = 2 THEN ' own '
        WHEN src % 6 = 3 THEN 'Tenant' WHEN src % 6 = 4 THEN 'homeowners' ELSE 'banana' END AS raw_homeowner,
-  CASE WHEN src % 50 = 33 THEN '-' WHEN src % 4 = 0 THEN '2' WHEN src % 4 = 1 THEN '2.7' WHEN src % 4 = 2 THEN '3 cars' ELSE 'many' END AS raw_autos,
-  CASE WHEN src % 50 = 33 THEN 'N/A' WHEN src % 8 = 0 THEN 'STATE FARM' WHEN src % 8 = 1 THEN 'gieco' WHEN src % 8 = 2 THEN 'Liberty'
+  CASE WHEN src % 50 = 33 THEN '-' WHEN src % 23 = 9 THEN '1e20' WHEN src % 23 = 10 THEN '12345678901234567890' WHEN src % 4 = 0 THEN '2' WHEN src % 4 = 1 THEN '2.7' WHEN src % 4 = 2 THEN '3 cars' ELSE 'many' END AS raw_autos,
+  CASE WHEN src % 50 = 33 THEN 'N/A' WHEN src % 29 = 3 THEN 'NA' WHEN src % 29 = 4 THEN ' NA ' WHEN src % 8 = 0 THEN 'STATE FARM' WHEN src % 8 = 1 THEN 'gieco' WHEN src % 8 = 2 THEN 'Liberty'
        WHEN src % 8 = 3 THEN 'auto owners' WHEN src % 8 = 4 THEN 'ACME MUTUAL' WHEN src % 8 = 5 THEN 'Progressve' WHEN src % 8 = 6 THEN 'usaa' ELSE '' END AS raw_carrier,
   CASE WHEN src % 50 = 33 THEN NULL WHEN src % 6 = 5 THEN '' ELSE CAST(1990 + k % 35 AS VARCHAR(4)) || ' Ford F150 / 2020  Kia Soul' END AS raw_vehicles,
   CASE WHEN src % 11 = 2 THEN 'not-an-email' WHEN src % 11 = 3 THEN 'no@gmail.com'
@@ -215,7 +215,7 @@ def sql_home_exact(x: str) -> str:
 
 def sql_int(x: str) -> str:
     t = sql_text(x)
-    return (f"CASE WHEN try_cast({t} AS DOUBLE) IS NOT NULL THEN CAST(CAST(trunc(CAST({t} AS DOUBLE)) AS BIGINT) AS VARCHAR) "
+    return (f"CASE WHEN try_cast({t} AS DOUBLE) IS NOT NULL THEN CAST(CAST(trunc(CAST({t} AS DOUBLE)) AS HUGEINT) AS VARCHAR) "
             f"WHEN {sql_digits(t)} <> '' THEN {sql_digits(t)} END")
 
 

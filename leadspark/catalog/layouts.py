@@ -161,11 +161,11 @@ def headerless_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
                  "Cars Make and Model", "Email")
 
 
-@query("csv_records", f"""{LEADS_CTE} SELECT CAST(src AS BIGINT) AS src, raw_name AS a, 'say "' || raw_city || '"; ' || raw_street AS b, note AS c
-  FROM raw_leads WHERE raw_street IS NOT NULL AND raw_city <> '' AND raw_name <> 'n/a'""")
+@query("csv_records", f"""{LEADS_CTE} SELECT CAST(src AS BIGINT) AS src, CASE WHEN raw_name NOT IN ({sql_list(fv.READ_NULL_TOKENS)}) THEN raw_name END AS a,
+  'say "' || coalesce(raw_city, '') || '"; ' || coalesce(raw_street, '') AS b, note AS c FROM raw_leads""")
 def csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quoted delimited lines written from all leads and split again, three delimiters."""
-    leads = raw_leads(spark, sf_dir).where("raw_street IS NOT NULL AND raw_city <> '' AND raw_name <> 'n/a'")
+    leads = raw_leads(spark, sf_dir).fillna("", ["raw_street", "raw_city", "raw_name"])
     delimiter = F.element_at(F.array(F.lit(","), F.lit(";"), F.lit("|")), (F.col("src") % 3 + 1).cast("int"))
     middle = F.concat(F.lit('"say ""'), "raw_city", F.lit('""; '), "raw_street", F.lit('"'))
     lines = leads.select(F.lit("f").alias("file_id"), "src", delimiter.alias("delimiter"), middle.alias("m"), "raw_name", "note")
@@ -242,7 +242,7 @@ _CARD = ["'Name: ' || raw_name", "'D.O.B : ' || raw_dob", "'Number: ' || raw_pho
 
 def lines_of(spark: SparkSession, sf_dir: str, texts: list[str]) -> DataFrame:
     """``(src, i, text)``: one line per lead and text expression."""
-    leads = raw_leads(spark, sf_dir).where("src % 50 <> 33")
+    leads = raw_leads(spark, sf_dir)
     return leads.select("src", F.posexplode(F.array(*[F.expr(t) for t in texts])).alias("i", "text"))
 
 
@@ -255,7 +255,7 @@ def _mention(x: str) -> str:
 
 
 def _mention_or_text(x: str) -> str:
-    return f"coalesce({_mention(x)}, {_nonempty(f'trim({x})')})"
+    return f"coalesce({_mention(x)}, {_nonempty(f"trim(replace({x}, '/', ' '))")})"
 
 
 _VEHICLE = "trim(regexp_replace(raw_vehicles, '\\s+', ' ', 'g'))"
@@ -285,7 +285,7 @@ def grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(body.unionByName(starts.select("file_id", "src", banner.alias("cells"))))
 
 
-@query("banner_blocks", f"""{LEADS_CTE}, placed AS (SELECT CAST((src - src % 99) AS VARCHAR) AS file_id, (src % 99 - src % 3) // 3 AS block FROM raw_leads WHERE src % 50 <> 33)
+@query("banner_blocks", f"""{LEADS_CTE}, placed AS (SELECT CAST((src - src % 99) AS VARCHAR) AS file_id, (src % 99 - src % 3) // 3 AS block FROM raw_leads)
   SELECT file_id, count(DISTINCT block) - 1 AS banners, CAST(max(dense) AS BIGINT) AS last_block FROM (
     SELECT file_id, block, dense_rank() OVER (PARTITION BY file_id ORDER BY block) - 1 AS dense FROM placed) GROUP BY file_id""")
 def banner_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,7 +293,7 @@ def banner_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if("banner").alias("banners"), F.max("block").alias("last_block"))
 
 
-@query("grid_leads", f"""{LEADS_CTE} SELECT * EXCLUDE (src) FROM (SELECT src, {_CARD_EXPECTED} FROM raw_leads WHERE src % 50 <> 33) WHERE name IS NOT NULL""")
+@query("grid_leads", f"""{LEADS_CTE} SELECT * EXCLUDE (src) FROM (SELECT src, {_CARD_EXPECTED} FROM raw_leads) WHERE name IS NOT NULL""")
 def grid_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return short(extract_leads(grid_cells(grid_rows(spark, sf_dir))), *_CARD_OUT)
 
@@ -308,13 +308,13 @@ def linear_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(lines.unionByName(rules))
 
 
-@query("linear_leads", f"""{LEADS_CTE} SELECT * EXCLUDE (src) FROM (SELECT src, {_CARD_EXPECTED} FROM raw_leads WHERE src % 50 <> 33) WHERE name IS NOT NULL""")
+@query("linear_leads", f"""{LEADS_CTE} SELECT * EXCLUDE (src) FROM (SELECT src, {_CARD_EXPECTED} FROM raw_leads) WHERE name IS NOT NULL""")
 def linear_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return short(extract_leads(linear_cells(linear_lines(spark, sf_dir), INNER_BREAKS)), *_CARD_OUT)
 
 
-@query("linear_detect", f"""{LEADS_CTE} SELECT CAST(src - src % 100 AS VARCHAR) AS file_id, count(*) FILTER (src % 50 <> 33 AND raw_name IS NOT NULL) AS names,
-  count(*) FILTER (src % 50 <> 33 AND raw_dob IS NOT NULL) AS births FROM raw_leads GROUP BY 1""")
+@query("linear_detect", f"""{LEADS_CTE} SELECT CAST(src - src % 100 AS VARCHAR) AS file_id, count(*) FILTER (raw_name IS NOT NULL) AS names,
+  count(*) FILTER (raw_dob IS NOT NULL) AS births FROM raw_leads GROUP BY 1""")
 def linear_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Name and birth label lines per file, which tell linear card files from tables."""
     return linear_lines(spark, sf_dir).groupBy("file_id").agg(
@@ -355,8 +355,8 @@ def _after(label_empty: str, value: str) -> str:
 
 @query("labeled_leads", f"""{LEADS_CTE} SELECT {_FIRST} || ' Testlast' AS name, {_nonempty('trim(raw_dob)')} AS dob, {_nonempty('trim(raw_phone)')} AS phone,
   {_after('raw_phone', 'raw_email')} AS email, concat_ws(', ', {_nonempty('trim(raw_street)')}, {_nonempty('trim(raw_city)')}) AS address,
-  {_after('raw_city', 'raw_zip')} AS zip, '1' AS autos, {_mention('note')} AS mention, '2020 Honda Accord' AS vehicles
-  FROM raw_leads WHERE src % 50 <> 33""")
+  CASE WHEN coalesce(trim(raw_street), '') = '' THEN {_nonempty('trim(raw_zip)')} ELSE {_after('raw_city', 'raw_zip')} END AS zip, '1' AS autos, {_mention('note')} AS mention, '2020 Honda Accord' AS vehicles
+  FROM raw_leads""")
 def labeled_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read_labeled(labeled_rows(spark, sf_dir))
     return short(found, "Full Name", "Date of Birth", "Phone Number", "Email", "Address", "ZIP Code", "Autos", "Current Insurance",

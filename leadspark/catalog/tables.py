@@ -196,7 +196,7 @@ def lineitem_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row numbers in three large groups, computed in chunks."""
     items = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber",
                                                     (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("place"))
-    return number_rows(items, ["l_returnflag"], "place", "row", chunk=1 << 14).drop("place")
+    return number_rows(items, ["l_returnflag"], "place", "row").drop("place")
 
 
 _SORT = f"""row_number() OVER (PARTITION BY file_id ORDER BY coalesce(try_strptime(ts, '%m/%d/%Y %H:%M'), try_strptime(ts, '%m/%d/%Y'))
@@ -237,7 +237,7 @@ def _reason_sql(t: str) -> str:
 
 _DIFFS_SQL = " UNION ALL ".join(
     f"""SELECT file_id, row, '{_NAMES[t]}' AS field, r_{t} AS original, coalesce({t}, 'NA') AS new, {_reason_sql(t)} AS reason
-  FROM leads WHERE r_{t} <> '' AND ({t} IS NULL OR {t} <> r_{t})""" for t in TARGETS)
+  FROM leads WHERE r_{t} <> '' AND r_{t} <> coalesce({t}, 'NA')""" for t in TARGETS)
 
 
 @query("row_diffs", f"{STD_CTE} {_DIFFS_SQL}")

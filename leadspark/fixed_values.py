@@ -267,6 +267,7 @@ LEAD_MIN_CELLS = 3
 PROFILE_SAMPLES = 200
 YEAR_SAMPLES = 50
 BIRTH_YEAR_BEFORE = 2015
+NO_YEAR = 9999  # a date column without a year sorts last
 MAX_VEHICLES = 4
 MAX_ADDRESS_PARTS = 3
 DELIMITERS = [",", ";", "\t", "|"]

@@ -122,9 +122,18 @@ def integer(value: Column) -> Column:
 
 def _whole_number(cleaned: Column) -> Column:
     numeric = cleaned.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
-    number = cleaned.try_cast("double")
-    whole = F.when(numeric & (F.abs(number) < 9e18), number.try_cast("bigint").cast("string"))
-    return F.coalesce(whole, let(digits(cleaned), lambda d: F.when(d != "", d)))
+    whole = let(cleaned.try_cast("double"), lambda n: F.when(F.abs(n) < 9e18, n.try_cast("bigint").cast("string")).otherwise(_large_whole(n)))
+    return F.when(numeric, whole).otherwise(let(digits(cleaned), lambda d: F.when(d != "", d)))
+
+
+def _large_whole(number: Column) -> Column:
+    """All digits of a whole double beyond BIGINT, put together from two exact halves; NULL beyond DECIMAL(38)."""
+    half = 1 << 62
+    size = F.abs(number)
+    high = F.floor(size / float(half))
+    low = (size - high.cast("double") * float(half)).cast("bigint")
+    total = high.cast("decimal(19,0)") * F.lit(half).cast("decimal(19,0)") + low.cast("decimal(19,0)")
+    return F.when(size < 9e37, F.concat(F.when(number < 0, "-").otherwise(""), total.cast("string")))
 
 
 def email(value: Column) -> Column:

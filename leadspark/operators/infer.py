@@ -10,6 +10,9 @@ from leadspark.functions import dates, values
 from leadspark.functions.similarity import closest
 from leadspark.operators.layout import long_cells
 
+# The targets that columns can claim, by the names of the default profile.
+ROLES = ("Phone Number", "Email", "ZIP Code", "Date of Birth", "Timestamp", "Autos", "Current Insurance", "Homeowner",
+         "Cars Make and Model", "Full Name", "Address")
 PLAN_SCHEMA = "file_id string, target string, part int, ordinal int, joined boolean, separator string"
 
 
@@ -94,6 +97,7 @@ def claim_roles(profile: DataFrame) -> DataFrame:
             free.remove(c)
         give("Email", fits("email", 0.5)[:1])
         give("ZIP Code", sorted(fits("zip", 0.7), key=lambda c: -table.at[c, "zip"])[:1])
+        table["median_year"] = table["median_year"].fillna(fv.NO_YEAR)
         dated = sorted(fits("date", 0.7), key=lambda c: table.at[c, "median_year"])
         births = [c for c in dated if table.at[c, "median_year"] < birth_before]
         recent = [c for c in dated if c not in births]

@@ -55,6 +55,16 @@ def project_rows(rows: DataFrame, plan: DataFrame, profile: Profile, stamp: Colu
     return joined.select("file_id", "src", *[value(t).alias(t) for t in profile.all_columns])
 
 
+def role_plan(plan: DataFrame, profile: Profile) -> DataFrame:
+    """The plan of claimed roles under a profile's own column names: a role is a header like any other. Roles that the
+    profile knows no column for are left out."""
+    known = {r: profile.aliases[normalize_header(r)] for r in infer.ROLES if normalize_header(r) in profile.aliases}
+    if not known:
+        return plan.limit(0)
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return plan.withColumn("target", F.element_at(names, F.col("target"))).where("target IS NOT NULL")
+
+
 def project_cards(leads: DataFrame, profile: Profile, stamp: Column) -> DataFrame:
     """Raw target columns of card leads, whose columns carry target names already."""
     sources = {profile.aliases[normalize_header(c)]: c for c in CARD_COLUMNS if normalize_header(c) in profile.aliases}
@@ -93,7 +103,7 @@ def organize_lines(intake: Intake, profile: str | dict | Profile = "default", as
     if "inferred" in present:
         body = of_layout(rows, routed, "inferred")
         leads = infer.lead_rows(body)
-        plan = materialize(infer.claim_roles(infer.profile_columns(infer.column_samples(leads), today)))
+        plan = materialize(role_plan(infer.claim_roles(infer.profile_columns(infer.column_samples(leads), today)), profile))
         frames.append(project_rows(leads, plan, profile, stamp))
         few = F.count_if(F.size(F.filter("cells", lambda c: c.isNotNull())) < infer.fv.LEAD_MIN_CELLS)
         skipped.append(body.groupBy("file_id").agg(few.alias("skipped")))

@@ -69,7 +69,7 @@ class Organized:
     def changes(self) -> Column:
         def change(name: str) -> Column:
             before, after = F.col("raw").getField(name), col(name)
-            return F.when((before != "") & (after.isNull() | (after != before)), F.struct(
+            return F.when((before != "") & (before != F.coalesce(after, F.lit(fv.NA_TEXT))), F.struct(
                 F.lit(name).alias("field"), before.alias("original"),
                 F.coalesce(after, F.lit(fv.NA_TEXT)).alias("new"),
                 _reason(after, self.profile.types[name]).alias("reason")))

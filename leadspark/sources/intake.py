@@ -28,14 +28,14 @@ INNER_BREAKS = r"[\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def with_places(text: DataFrame) -> DataFrame:
-    """``(file_id, src, head, line)`` from a text scan carrying ``value``, ``file_path`` and ``file_block_start``.
+    """``(file_id, src, line)`` from a text scan carrying ``value``, ``file_path`` and ``file_block_start``.
 
     ``src`` increases within a file: a line starts at its own byte, so twice the block's byte offset plus the
     line's index in the block is unique and ordered.
     """
     index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return text.select(F.col("file_path").alias("file_id"), (F.col("file_block_start") * 2 + index).alias("src"),
-                       (F.col("file_block_start") == 0).alias("head"), F.col("value").alias("line"))
+                       F.col("value").alias("line"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -110,7 +110,8 @@ def profile_files(lines: DataFrame, files: DataFrame | None = None) -> DataFrame
     line, raw = F.col("line"), F.col("line").cast("binary")
     valid = F.is_valid_utf8(line)
     bare = F.when(line.contains('"'), F.regexp_replace(line, r'"[^"]*"', "")).otherwise(line)
-    counts = [F.when(F.col("head"), F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit("")))).alias(f"c{i}")
+    # Every line votes: how Spark splits a file must not decide its delimiter.
+    counts = [(F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit("")))).alias(f"c{i}")
               for i, d in enumerate(fv.DELIMITERS)]
     broken = reduce(lambda a, b: a | b, [ends_open(line, d) for d in fv.DELIMITERS])
     seen = lines.select(

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 from leadspark import fixed_values as fv
 from leadspark.operators.rows import col
 from leadspark.plans.refine import Refined
 
 CHANGE_COLUMNS = ["row", "field", "original", "new", "reason"]
-# One JSON document holds all lists of its file, so it is built in one row. Larger files keep their log
-# as section tables, which are always written and hold the same content.
-DOCUMENT_ROWS = 50_000
 
 
 def in_order(df: DataFrame, *order: str) -> DataFrame:
@@ -54,49 +50,35 @@ def sections(refined: Refined) -> dict[str, DataFrame]:
     }
 
 
-def _collected(df: DataFrame, name: str, order: list[str], item: Column) -> DataFrame:
-    rows = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in order], item.alias("_item"))))
-    return df.groupBy("file_id").agg(F.transform(rows, lambda r: r["_item"]).alias(name))
-
-
-def error_documents(refined: Refined, limit: int = DOCUMENT_ROWS) -> DataFrame:
-    """One row per file with the sixteen keys of the quality log, for files of at most ``limit`` rows."""
-    totals = refined.totals.where(F.col("input_rows") <= limit)
-    parts = {n: t.join(totals.select("file_id"), "file_id", "left_semi") for n, t in sections(refined).items()}
-
-    def struct_of(df: DataFrame, *skip: str) -> Column:
-        return F.struct(*[col(c) for c in df.columns if c not in ("file_id", *skip)])
-
-    members = parts["duplicate_groups"]
-    ordered = F.sort_array(F.collect_list(F.struct("row", "name")))
-    groups = members.groupBy("file_id", "group").agg(ordered.alias("m"), F.min("matched_on").alias("matched_on")).select(
-        "file_id", "group", F.transform("m", lambda m: m["row"]).alias("rows"),
-        F.transform("m", lambda m: m["name"]).alias("names"), "matched_on")
-    score_item = F.struct("row", "name", "completeness", "penalty", "issues", "score", "review")
-    lists = [
-        _collected(parts["scores"], "scores", ["row"], score_item),
-        _collected(parts["scores"].where("review"), "review_rows", ["row"], F.col("row")),
-        _collected(parts["violations"], "violations", ["row", "seq"], F.struct("row", "rule", "fields", "message")),
-        _collected(parts["email_corrections"], "email_corrections", ["row"], struct_of(parts["email_corrections"])),
-        _collected(groups, "duplicate_groups", ["group"], F.struct("group", "rows", "names", "matched_on")),
-        _collected(parts["removed_duplicates"], "removed_duplicates", ["src"],
-                   struct_of(parts["removed_duplicates"], "src")),
-        _collected(parts["invalid_phone_rows"], "invalid_phone_rows", ["index"], F.col("index")),
-    ]
-    document = totals.drop("review_rows", "duplicate_groups", "invalid_phones")
-    for part in lists:
-        document = document.join(part, "file_id", "left")
-    keys = ["vertical", "avg_score", "scores", "review_rows", "violations", "email_corrections", "duplicate_groups",
-            "removed_duplicates", "duplicates_removed", "invalid_phone_rows", "unmapped_headers", "dropped_headers",
-            "skipped_non_lead_rows", "header_inferred", "input_rows", "output_rows"]
-    types = {f.name: f.dataType for f in document.schema}
-    return document.select("file_id", *[F.coalesce(k, F.array().cast(types[k])).alias(k)
-                                        if isinstance(types[k], ArrayType) else F.col(k) for k in keys])
+def error_log(refined: Refined) -> DataFrame:
+    """The quality log of every file as ordered lines ``(file_id, section, position, item)``, whatever its size.
+
+    ``item`` is JSON. The section ``totals`` has one item per file with its counts and header lists; the others have one
+    item per entry, ordered by ``position`` and, within one row, ``part``: scores, review_rows, violations, email_corrections,
+    duplicate_groups (one item per member), removed_duplicates and invalid_phone_rows. No list is gathered into one row.
+    """
+    parts = sections(refined)
+    parts["review_rows"] = parts["scores"].where("review").select("file_id", "row")
+    order = {"scores": "row", "review_rows": "row", "violations": "row", "email_corrections": "row", "duplicate_groups": "group",
+             "removed_duplicates": "src", "invalid_phone_rows": "index"}
+    within = {"violations": "seq", "duplicate_groups": "row"}
+
+    def lines(name: str, df: DataFrame) -> DataFrame:
+        at = F.col(order[name]).cast("bigint") if name in order else F.lit(0).cast("bigint")
+        part = F.col(within[name]).cast("bigint") if name in within else F.lit(0).cast("bigint")
+        kept = [col(c) for c in df.columns if c not in ("file_id", "seq", "src")]
+        return df.select("file_id", F.lit(name).alias("section"), at.alias("position"), part.alias("part"),
+                         F.to_json(F.struct(*kept), {"ignoreNullFields": "false"}).alias("item"))
+
+    log = lines("totals", refined.totals.drop("review_rows", "duplicate_groups", "invalid_phones"))
+    for name, df in parts.items():
+        log = log.unionByName(lines(name, df))
+    return log
 
 
 def write_quality_log(refined: Refined, path: str) -> None:
-    """Section tables and per-file totals for every file, and one JSON document per file of ordinary size."""
+    """Section tables, per-file totals, and all of it once more as ordered JSON lines per file."""
     for name, table in sections(refined).items():
         table.write.mode("overwrite").json(f"{path}/{name}")
     refined.totals.write.mode("overwrite").json(f"{path}/totals")
-    error_documents(refined).write.mode("overwrite").partitionBy("file_id").json(f"{path}/documents")
+    in_order(error_log(refined), "section", "position", "part").write.mode("overwrite").partitionBy("file_id").json(f"{path}/log")

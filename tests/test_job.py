@@ -84,10 +84,15 @@ def test_job_writes_everything(spark, tmp_path):
     changes = _read(f"{out}/changes/*/*.csv")
     assert list(changes[0]) == ["row", "field", "original", "new", "reason"]
     assert {"row": "1", "field": "Full Name", "original": "JON TESTSMITH", "new": "Jon Testsmith", "reason": "name recased/cleaned"} in changes
-    with open(glob.glob(f"{out}/errors/documents/*/*.json")[0], encoding="utf-8") as handle:
-        document = json.load(handle)
-    assert len(document) == 16 and document["duplicate_groups"][0]["rows"] == [1, 2]
-    assert document["input_rows"] == 2 and [s["row"] for s in document["scores"]] == [1, 2]
+    document = {}
+    for name in sorted(glob.glob(f"{out}/errors/log/*/*.json")):
+        with open(name, encoding="utf-8") as handle:
+            for line in map(json.loads, handle):
+                document.setdefault(line["section"], []).append(json.loads(line["item"]))
+    assert [m["row"] for m in document["duplicate_groups"]] == [1, 2] and {m["group"] for m in document["duplicate_groups"]} == {1}
+    assert document["totals"][0]["input_rows"] == 2 and [s["row"] for s in document["scores"]] == [1, 2]
+    assert {"vertical", "avg_score", "unmapped_headers", "dropped_headers", "skipped_non_lead_rows", "header_inferred",
+            "output_rows", "duplicates_removed"} <= set(document["totals"][0])
     assert [v["rule"] for v in document["violations"]] == ["email_domain_typo", "email_invalid"]
 
 

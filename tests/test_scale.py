@@ -20,8 +20,8 @@ def test_running_totals_over_chunks(spark):
     places = sorted(rng.sample(range(5000), 400))
     data = [("a" if rng.random() < 0.8 else "b", p, rng.randint(0, 5)) for p in places]
     df = spark.createDataFrame(data, "file_id string, src bigint, v bigint").repartition(7)
-    out = running(df, ["file_id"], "src", {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}, chunk=64)
-    out = number_rows(out, ["file_id"], "src", "n", chunk=64)
+    out = running(df, ["file_id"], "src", {"s": ("sum", F.col("v")), "m": ("max", F.col("v"))}, parts=7)
+    out = number_rows(out, ["file_id"], "src", "n", parts=7)
     totals = {}
     want = {}
     for f, p, v in data:
