@@ -196,3 +196,25 @@ def test_quoted_records_equal_csv_module(spark, tmp_path):
     got = [[c or "" for c in r.cells] for r in intake.rows.orderBy("src").collect()]
     assert got[1:] == rows
     assert ragged_rows(intake.rows).first().ragged_rows == 0
+
+
+def test_delimiter_does_not_depend_on_splits(spark, tmp_path):
+    from leadspark.sources.intake import profile_files, read_lines
+
+    head = "".join(f"a;b;c{i},\n" for i in range(40))
+    (tmp_path / "f.txt").write_text(head + "".join(f"x{i},y,z,w;\n" for i in range(4000)))
+    found = []
+    for size in ("128m", "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        found.append(profile_files(read_lines(spark, str(tmp_path))).first()["delimiter"])
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == [",", ","]
+
+
+def test_roles_map_through_a_custom_profile(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("".join(f"Jane Tester,404555{i:04d},{i % 4 + 1}\n" for i in range(20)))
+    profile = {"columns": [{"name": "Caller", "type": "name", "aliases": ["full name"]},
+                           {"name": "Phone", "type": "phone", "aliases": ["phone number"]}]}
+    done, _ = organize_files(spark, str(tmp_path), profile, "2026-07-01")
+    rows = done.leads.collect()
+    assert len(rows) == 20 and {r["Caller"] for r in rows} == {"Jane Tester"} and all(r["Phone"].startswith("(404)") for r in rows)

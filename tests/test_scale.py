@@ -154,3 +154,14 @@ def test_groups_equal_brute_force(spark, seed):
                                                           "`Phone Number` string, Email string").repartition(5)
     got = {r.row: (r.group, r.matched_on) for r in duplicate_groups(df, settings).collect()}
     assert got == _brute_groups(rows, settings)
+
+
+def test_numbering_keeps_null_keys_and_positions(spark):
+    from leadspark.operators.ordering import number_rows, number_sorted
+
+    rows = [(None, 5, "b"), (None, None, "a"), ("f", 1 << 60, "c"), ("f", -3, "d"), ("f", 7, "a")]
+    df = spark.createDataFrame(rows, "file_id string, src bigint, v string")
+    got = {(r["file_id"], r["src"]): r["n"] for r in number_rows(df, ["file_id"], "src", "n", parts=3).collect()}
+    assert got == {(None, None): 1, (None, 5): 2, ("f", -3): 1, ("f", 7): 2, ("f", 1 << 60): 3}
+    got = {(r["file_id"], r["src"]): r["n"] for r in number_sorted(df, ["file_id"], [F.col("v")], "src", "n").collect()}
+    assert got == {(None, None): 1, (None, 5): 2, ("f", 7): 1, ("f", 1 << 60): 2, ("f", -3): 3}

@@ -81,3 +81,10 @@ def test_registered_type(spark):
     assert spark.range(1).select(values.standardize(F.lit("a"), "shout", F.lit(None)).alias("x")).first().x == "A"
     with pytest.raises(ValueError):
         values.standardize(F.lit("a"), "nosuch", F.lit(None))
+
+
+def test_large_numbers_keep_their_digits(spark):
+    texts = ["1e20", "-1e20", "12345678901234567890", "9007199254740993", "2.7", "-0.5", "1e39", "3 cars", "9e18"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r[0]: r[1] for r in df.select("t", values.integer(F.col("t"))).collect()}
+    assert got == {**{t: str(int(float(t))) for t in texts if t not in ("1e39", "3 cars")}, "1e39": None, "3 cars": "3"}
