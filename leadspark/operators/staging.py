@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _FOLDER = "spark.checkpoint.dir"
+# Spark removes the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def staging_folder(spark: SparkSession) -> str:
@@ -29,11 +31,18 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it from there afterwards.
 
     This cuts lineage (a lost executor recomputes nothing before this point), computes shared work once,
-    and gives the optimizer true sizes; being columnar, later reads fetch only the columns they use.
+    and gives the optimizer true sizes; being columnar, later reads fetch only the columns they use. The shuffle files of
+    the write are removed with its end, as nothing reads them again.
     """
-    path = f"{staging_folder(df.sparkSession)}/leadspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{staging_folder(spark)}/leadspark-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
