@@ -4,8 +4,8 @@ Documents link when the Jaccard similarity of their shingle sets is at least ``N
 distance, a metric, is at most 1 - NEAR / 100. In a space of so many dimensions nearly all documents are about 1 apart, where
 no triangle inequality tells them apart, so those that can have no partner are told first:
 
-* A partner lacks at most a tenth (``_lost``) of a set's shingles. Of the least hashes of a set, a tenth and ``EXTRA`` more, at
-  least ``EXTRA`` must therefore be shared with some other document. Counts of these hashes leave few *suspects*.
+* A partner lacks at most a tenth (``_lost``) of a set's shingles. Of the least hashes of a set, that many and ``_extra`` more, at
+  least ``_extra`` must therefore be shared with other documents. Counts of these hashes leave few *suspects*.
 * Suspects are put into *regions*: in the global order of shingles, rare ones first, the first shingle that two partners have in
   common is among the first ``_lost + 1`` of either. A region holds the sets that have one such shingle in front.
 
@@ -13,8 +13,10 @@ Then regions join recursively. Each round draws pivots in every region and compu
 within the join distance of a pivot is linked to it. A member belongs to the cell of its nearest pivot and, where it
 is nearly as close to another one (triangle inequality: within twice the join distance), to that cell too. Members far from every
 pivot form an outer cell, joined by those near its boundary. Cells are the regions of the next round, without the
-pivots, which have met everyone. A region whose members are already connected is done, as components only are asked for, so a
-large group of near copies ends after a round or two and never becomes pairs.
+pivots, which have met everyone. Where cells overlap too much to be a division, the region goes on whole, without its pivots. A region
+whose members are already connected is done, as components only are asked for, regions of the same members are joined once, and
+pivots are drawn outside a region's most frequent component; so a large group of near copies ends after a round or two and
+never becomes pairs.
 
 Equal sets are one point of the space. Null and empty texts have no shingles and are linked with nothing. Repeated rows are equal
 sets. An empty table gives an empty result. A null ``doc_id`` takes part, and gives way to any other as the least of its
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadspark.llm.common import whole_text
+from leadspark.llm.common import slices, whole_text
 from leadspark.operators.components import connected_components
 from leadspark.operators.staging import materialize
 
@@ -39,6 +41,8 @@ NEAR = 90
 RANKED = 0.4
 # Pivots per region grow by this factor from round to round.
 MORE = 4
+# A region is divided into its cells if these have at most so many times its members.
+OVERLAP = 1.25
 SLAB = 1 << 20
 
 _GAPS = np.zeros(256, bool)
@@ -55,7 +59,7 @@ def _lost(n):
 
 
 def _extra(n):
-    return _lost(n) // 4 + 1
+    return _lost(n) + 1
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -128,7 +132,7 @@ def suspects(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``texts`` has id, tie, doc_id and text (bytes).
     """
     def measure(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = list(shingle_sets(batch.column(3).to_pylist()))
             marks = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), ">i8") for s in sets]
             n = np.array([len(s) for s in sets], np.int64)
@@ -141,7 +145,7 @@ def suspects(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = sized.select("lo", "n", F.explode("least").alias("hash"))
     common = least.groupBy("hash").agg(F.count("*").alias("_n")).where("_n > 1").select("hash")
     # Two partners share what the smaller one has to; it has NEAR per cent of this set's shingles at least.
-    need = F.expr(f"((n * {NEAR} + 99) div 100 * {100 - NEAR} div 100) div 4 + 1")
+    need = F.expr(f"((n * {NEAR} + 99) div 100 * {100 - NEAR} div 100) + 1")
     found = least.join(common, "hash").groupBy("lo", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= need)
     return sized.drop("least"), found.select("lo").distinct()
 
@@ -149,7 +153,7 @@ def suspects(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _regions(sets: DataFrame) -> DataFrame:
     """(region, sid): the shingles that stand first in each set's rare-first order and in that of another set."""
     def candidates(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, hashes, lost = [], [], []
             for sid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 whole = np.frombuffer(data, np.uint64)
@@ -177,7 +181,7 @@ def _regions(sets: DataFrame) -> DataFrame:
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(sid, pivot, distance) of pairs of sets."""
     def measure(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -191,10 +195,10 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _join_round(members: DataFrame, sets: DataFrame, draws: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Links found with this round's pivots, and the members of the next round's regions."""
+    """Links found with this round's pivots, and the members of the next round's regions, from rows of (region, sid, minor)."""
     draw = F.pmod(F.xxhash64(F.lit(seed), "sid"), F.lit(draws))
-    pivots = materialize(members.groupBy("region", draw.alias("draw")).agg(F.min("sid").alias("pivot")).select("region", "pivot"))
-    met = materialize(members.join(pivots, "region").where("sid <> pivot"))
+    pivots = materialize(members.where("minor").groupBy("region", draw.alias("draw")).agg(F.min("sid").alias("pivot")).select("region", "pivot"))
+    met = materialize(members.select("region", "sid").join(pivots, "region").where("sid <> pivot"))
     eps = (100 - NEAR) / 100
     reach = 3 * eps
     # Sets of so different sizes that their distance is beyond any window are not compared.
@@ -204,12 +208,19 @@ def _join_round(members: DataFrame, sets: DataFrame, draws: int, seed: int) -> t
     links = measured.where(F.col("distance") <= eps + 1e-9)
     # Pivots have met their whole region; the others go on.
     rest = met.join(pivots.select("region", F.col("pivot").alias("sid")), ["region", "sid"], "left_anti")
-    known = rest.join(measured, ["sid", "pivot"], "left").withColumn("distance", F.coalesce("distance", F.lit(1.0)))
-    home = known.groupBy("region", "sid").agg(F.min("distance").alias("nearest"))
+    known = materialize(rest.join(measured, ["sid", "pivot"], "left").withColumn("distance", F.coalesce("distance", F.lit(1.0))))
+    home = materialize(known.groupBy("region", "sid").agg(F.min("distance").alias("nearest")))
     cells = known.join(home, ["region", "sid"]).where(
-        (F.col("nearest") <= reach) & (F.col("distance") <= F.col("nearest") + 2 * eps + 1e-9)).select(F.xxhash64("region", "pivot").alias("region"), "sid")
-    outer = home.where(F.col("nearest") > reach - eps - 1e-9).select(F.xxhash64("region", F.lit("outer")).alias("region"), "sid")
-    return links, cells.unionByName(outer)
+        (F.col("nearest") <= reach) & (F.col("distance") <= F.col("nearest") + 2 * eps + 1e-9)).select(
+        "region", "sid", F.xxhash64("region", "pivot").alias("cell"))
+    outer = home.where(F.col("nearest") > reach - eps - 1e-9).select("region", "sid", F.xxhash64("region", F.lit("outer")).alias("cell"))
+    parts = materialize(cells.unionByName(outer))
+    # Where the cells overlap too much to be a division, the region goes on whole.
+    placed = parts.groupBy("region").agg(F.count("*").alias("_placed"))
+    divided = home.groupBy("region").agg(F.count("*").alias("_all")).join(placed, "region").select(
+        "region", (F.col("_placed") <= OVERLAP * F.col("_all")).alias("divided"))
+    whole = home.join(divided.where("not divided"), "region").select("region", "sid")
+    return links, whole.unionByName(parts.join(divided.where("divided"), "region").select(F.col("cell").alias("region"), "sid"))
 
 
 def _labels(found: DataFrame) -> DataFrame:
@@ -223,14 +234,30 @@ def _labels(found: DataFrame) -> DataFrame:
     return materialize(label)
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """(a, b): links enough to connect whatever is linked, from rows of (sid, n, shingles)."""
-    members, found, draws, seed = _regions(sets), None, 1, 0
+def _open_regions(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    """(region, sid, minor): regions that are not one component yet, one of those with the same members.
+
+    ``minor`` members are outside the region's most frequent component: only they need to be pivots, as members of one
+    component need not meet. Before there are links, everyone is.
+    """
+    label = None if found is None else _labels(found)
+    known = (members.withColumn("component", F.col("sid")) if label is None else
+             members.join(label, "sid", "left").withColumn("component", F.coalesce("component", "sid")))
+    known = materialize(known)
+    shares = known.groupBy("region", "component").agg(F.count("*").alias("n"))
+    mark = F.xxhash64("sid").cast("decimal(38,0)")
+    sums = known.groupBy("region").agg(F.count("*").alias("size"), F.sum(mark).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("xor"))
+    main = shares.groupBy("region").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("components"))
+    kept = main.where("components > 1").join(sums, "region").groupBy("size", "sum", "xor").agg(F.min_by("main", "region").alias("main"), F.min("region").alias("region"))
+    return materialize(known.join(kept.select("region", "main"), "region").select(
+        "region", "sid", (F.lit(found is None) | (F.col("component") != F.col("main"))).alias("minor")))
+
+
+def links(sets: DataFrame) -> DataFrame | None:
+    """(sid, pivot, distance): links enough to connect whatever is linked, from rows of (sid, n, shingles); None if there are none."""
+    members, found, draws, seed = _regions(sets).distinct(), None, 1, 0
     while True:
-        members = members.join(_labels(found), "sid", "left").withColumn("component", F.coalesce("component", "sid")) if (
-            found is not None) else members.withColumn("component", F.col("sid"))
-        split = members.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("region")
-        members = materialize(members.join(split, "region").select("region", "sid").distinct())
+        members = _open_regions(members, found)
         if members.isEmpty():
             return found
         new, members = _join_round(members, sets, draws, seed)
@@ -251,7 +278,7 @@ def near_components(docs: DataFrame, text: str = "text") -> DataFrame:
     points = materialize(points.withColumn("sid", F.monotonically_increasing_id()).select("sid", "hi", "lo", "n", "one.*"))
 
     def gather(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([s.tobytes() for s in shingle_sets(batch.column(2).to_pylist())], pa.binary())],
                                              names=["sid", "n", "shingles"])
 
