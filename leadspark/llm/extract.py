@@ -24,6 +24,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from leadspark.llm.common import slices
+
 _TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])")
 _REST = re.compile(r"""((?:[^>=]|=\s*(?:"[^"]*"|'[^']*')?)*+)>""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -233,7 +235,7 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     keep = [c for c in pages.columns if c not in (column, "text", "n_chars")]
 
     def read(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [main_text(p) for p in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())],
