@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadspark.llm import codec
-from leadspark.llm.common import whole_text
+from leadspark.llm.common import slices, whole_text
 from leadspark.operators.staging import materialize
 
 SPAN = 16
 # One position in 2 ** CUT_BITS ends a chunk, but none within LEAST bytes of the last cut.
-CUT_BITS = 10
+CUT_BITS = 11
 LEAST = 64
 _SPACES = b" \t\n\r\x0b\x0c"
 _GEAR = np.random.default_rng(2016).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -90,31 +90,35 @@ def assemble(words: codec.WordCodec, data: bytes, known: list[tuple[int, int, by
 
 def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """``doc_id``, ``ids`` (array of INT) and ``decoded``, the text that decoding these ids gives, for every row of ``docs``."""
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text(text).cast("binary").alias("text"))
-    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.xxhash64("text").cast("string"))
-    texts = base.select(key.alias("key"), "doc_id", "text")
+    data = whole_text(text).cast("binary")
+    doc_id = F.col("doc_id").cast("bigint")
+    # A row's key: its id (null as the least number) and its text's hash.
+    texts = docs.select(F.coalesce(doc_id, F.lit(-(1 << 63))).alias("id"), F.xxhash64(data).alias("tie"), doc_id.alias("doc_id"), data.alias("text"))
 
     def chunk(batches):
-        for batch in batches:
-            keys, starts, stops, hashes = [], [], [], []
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = 0
+        for batch in slices(batches):
+            which, starts, stops, hashes = [], [], [], []
+            for k, value in enumerate(batch.column(2)):
+                data, at = value.as_py(), 0
                 for end in chunk_ends(data):
-                    keys.append(k)
+                    which.append(k)
                     starts.append(at)
                     stops.append(end)
                     hashes.append(xxhash.xxh3_128_digest(data[at:end]))
                     at = end
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()),
-                                              pa.array(hashes, pa.binary())], names=["key", "start", "stop", "hash"])
+            which = pa.array(which, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(starts, pa.int32()),
+                                              pa.array(stops, pa.int32()), pa.array(hashes, pa.binary())], names=["id", "tie", "start", "stop", "hash"])
 
-    chunks = materialize(texts.select("key", "text").mapInArrow(chunk, "key string, start int, stop int, hash binary"))
-    shared = chunks.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "stop")).alias("owner")).where("n > 1")
-    owned = shared.select("owner.*", "hash").groupBy("key").agg(F.collect_list(F.struct("start", "stop", "hash")).alias("owned"))
+    chunks = materialize(texts.select("id", "tie", "text").mapInArrow(chunk, "id bigint, tie bigint, start int, stop int, hash binary"))
+    repeated = chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    shared = materialize(chunks.join(repeated, "hash"))
+    owners = shared.groupBy("hash").agg(F.min(F.struct("id", "tie", "start", "stop")).alias("owner"))
+    owned = owners.select("owner.*", "hash").groupBy("id", "tie").agg(F.collect_list(F.struct("start", "stop", "hash")).alias("owned"))
 
     def encode_owned(batches):
         words = codec.for_file(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             hashes, ids = [], []
             for data, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 for part in parts:
@@ -122,12 +126,12 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
                     ids.append(inner_ids(words, data[part["start"]:part["stop"]]))
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(ids, pa.binary())], names=["hash", "ids"])
 
-    once = texts.join(owned, "key").select("doc_id", "text", "owned").mapInArrow(encode_owned, "hash binary, ids binary")
-    uses = chunks.join(once, "hash").groupBy("key").agg(F.collect_list(F.struct("start", "stop", "ids")).alias("known"))
+    once = texts.join(owned, ["id", "tie"]).select("doc_id", "text", "owned").mapInArrow(encode_owned, "hash binary, ids binary")
+    uses = shared.join(once, "hash").groupBy("id", "tie").agg(F.collect_list(F.struct("start", "stop", "ids")).alias("known"))
 
     def encode_all(batches):
         words = codec.for_file(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             found = [np.frombuffer(assemble(words, data, [(x["start"], x["stop"], x["ids"]) for x in known or ()]), words.kind)
                      for data, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             decoded = words.tokenizer.decode_batch([x.tolist() for x in found], skip_special_tokens=False)
@@ -135,7 +139,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).astype(np.int32) if found else [], pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return texts.join(uses, "key", "left").select("doc_id", "text", "known").mapInArrow(
+    return texts.join(uses, ["id", "tie"], "left").select("doc_id", "text", "known").mapInArrow(
         encode_all, "doc_id bigint, ids array<int>, decoded string")
 
 
