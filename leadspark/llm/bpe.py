@@ -111,7 +111,8 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
                                               pa.array(stops, pa.int32()), pa.array(hashes, pa.binary())], names=["id", "tie", "start", "stop", "hash"])
 
     chunks = materialize(texts.select("id", "tie", "text").mapInArrow(chunk, "id bigint, tie bigint, start int, stop int, hash binary"))
-    repeated = chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    # Written, so that both sides of the join are shuffled for it and a hot key can be split.
+    repeated = materialize(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
     shared = materialize(chunks.join(repeated, "hash"))
     owners = shared.groupBy("hash").agg(F.min(F.struct("id", "tie", "start", "stop")).alias("owner"))
     owned = owners.select("owner.*", "hash").groupBy("id", "tie").agg(F.collect_list(F.struct("start", "stop", "hash")).alias("owned"))

@@ -143,7 +143,8 @@ def suspects(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     sized = materialize(texts.select("id", "tie", "doc_id", "text").mapInArrow(
         measure, "id bigint, tie bigint, doc_id bigint, n bigint, hi bigint, lo bigint, least array<bigint>"))
     least = sized.select("lo", "n", F.explode("least").alias("hash"))
-    common = least.groupBy("hash").agg(F.count("*").alias("_n")).where("_n > 1").select("hash")
+    # Written, so that both sides of the join are shuffled for it and a hot key can be split.
+    common = materialize(least.groupBy("hash").agg(F.count("*").alias("_n")).where("_n > 1").select("hash"))
     # Two partners share what the smaller one has to; it has NEAR per cent of this set's shingles at least.
     need = F.expr(f"((n * {NEAR} + 99) div 100 * {100 - NEAR} div 100) + 1")
     found = least.join(common, "hash").groupBy("lo", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= need)
@@ -165,7 +166,7 @@ def _regions(sets: DataFrame) -> DataFrame:
                                               pa.array(np.concatenate(lost), pa.int64())], names=["sid", "hash", "lost"])
 
     rows = materialize(sets.select("sid", "shingles").mapInArrow(candidates, "sid bigint, hash bigint, lost bigint"))
-    common = rows.groupBy("hash").agg(F.count("*").alias("df")).where("df > 1")
+    common = materialize(rows.groupBy("hash").agg(F.count("*").alias("df")).where("df > 1"))
     # Shingles of one set alone come first in its order and link it to nobody: their number shortens the rest.
     ranked = F.expr(f"hash >= 0 and hash < {int(RANKED * 2**64) - 1}") if RANKED < 0.5 else F.expr(f"hash >= 0 or hash < {int(RANKED * 2**64) - (1 << 64)}")
     shared = rows.join(common, "hash").select("sid", "hash", "df", ranked.alias("ranked"))

@@ -181,7 +181,8 @@ def repeated_spans(texts: DataFrame, left_out: DataFrame, largest: int = BLOCK)
 
     drawn = texts.select("id", "tie", "text").mapInArrow(sample, "id bigint, tie bigint, at bigint, name bigint")
     samples = materialize(drawn).join(left_out, _KEY, "left_anti")
-    names = samples.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+    # Written, so that both sides of the join are shuffled for it and a hot key can be split.
+    names = materialize(samples.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"))
     mine = samples.join(names, "name").groupBy(*_KEY).agg(F.collect_list(F.struct("at", "name", "n")).alias("samples"))
 
     def contexts(batches):
