@@ -40,7 +40,7 @@ NEAR = 90
 # Share of the hash range whose shingles are ordered by rarity when suspects are put into regions.
 RANKED = 0.4
 # Pivots per region grow by this factor from round to round.
-MORE = 4
+MORE = 16
 # A region is divided into its cells if these have at most so many times its members.
 OVERLAP = 1.25
 SLAB = 1 << 20
