@@ -15,6 +15,10 @@ from leadspark.llm.common import table
 from leadspark.llm.queries import TOKENIZER, held_out
 from leadspark.operators.staging import staging_folder
 
+# What the near-copy stage compares: words per shingle, and the least Jaccard similarity in per cent.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier holds for good; it learns from the labels that are not held out."""
@@ -23,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of least id."""
-    return jaccard.one_of_each(docs)
+    """One document of each group of near copies, that of least id: four fifths of all their runs of five words are shared."""
+    return jaccard.one_of_each(docs, length=NEAR_WORDS, near=NEAR_PERCENT)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

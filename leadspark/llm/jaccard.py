@@ -1,11 +1,12 @@
 """Exact similarity join of shingle sets: Voronoi regions of pivots in the Jaccard metric.
 
-Documents link when the Jaccard similarity of their shingle sets is at least ``NEAR`` per cent, that is, when their Jaccard
-distance, a metric, is at most 1 - NEAR / 100. In a space of so many dimensions nearly all documents are about 1 apart, where
-no triangle inequality tells them apart, so those that can have no partner are told first:
+Documents link when the Jaccard similarity of their sets of shingles (``length`` words in a row; a shorter text is one
+shingle) is at least ``near`` per cent, that is, when their Jaccard distance, a metric, is at most 1 - near / 100. In a space
+of so many dimensions nearly all documents are about 1 apart, where no triangle inequality tells them apart, so those that can
+have no partner are told first:
 
-* A partner lacks at most a tenth (``_lost``) of a set's shingles. Of the least hashes of a set, that many and ``_extra`` more, at
-  least ``_extra`` must therefore be shared with other documents. Counts of these hashes leave few *suspects*.
+* A partner lacks at most 100 - near per cent (``_lost``) of a set's shingles. Of the least hashes of a set, that many and
+  ``_extra`` more, at least ``_extra`` must therefore be shared with other documents. Counts of these hashes leave few *suspects*.
 * Suspects are put into *regions*: in the global order of shingles, rare ones first, the first shingle that two partners have in
   common is among the first ``_lost + 1`` of either. A region holds the sets that have one such shingle in front.
 
@@ -35,6 +36,7 @@ from leadspark.llm.common import slices, whole_text
 from leadspark.operators.components import connected_components
 from leadspark.operators.staging import materialize
 
+# Words per shingle and least similarity in per cent, unless a caller names others.
 SHINGLE = 3
 NEAR = 90
 # Share of the hash range whose shingles are ordered by rarity when suspects are put into regions.
@@ -53,13 +55,13 @@ _BYTE = np.random.default_rng(90).integers(1, 1 << 63, 256, dtype=np.uint64) * n
 _BASE = 0xD6E8FEB86659FD93
 
 
-def _lost(n):
+def _lost(n, near):
     """Shingles of a set of n that a partner may lack."""
-    return n * (100 - NEAR) // 100
+    return n * (100 - near) // 100
 
 
-def _extra(n):
-    return _lost(n) + 1
+def _extra(n, near):
+    return _lost(n, near) + 1
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -95,7 +97,16 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return _mixed((sums[stops] - sums[starts]) * down[starts]), np.searchsorted(starts, ends)
 
 
-def shingle_sets(texts: list[bytes]):
+def _grams(words: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of every ``length`` words in a row."""
+    a, b, c = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+    grams = words[length - 1:] * c
+    for k in range(length - 2, -1, -1):
+        grams = _mixed(words[k:k + len(grams)] * (b if k else a) + grams)
+    return grams if length > 1 else _mixed(grams)
+
+
+def shingle_sets(texts: list[bytes], length: int = SHINGLE):
     """The distinct shingle hashes of each text, sorted."""
     first = 0
     while first < len(texts):
@@ -106,15 +117,14 @@ def shingle_sets(texts: list[bytes]):
         part = texts[first:stop]
         data = np.frombuffer(b"".join(part), np.uint8)
         words, upto = word_hashes(data, np.cumsum([len(t) for t in part])) if len(data) else (np.zeros(0, np.uint64), np.zeros(len(part), int))
-        a, b, c = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-        triples = _mixed(words[:-2] * a + _mixed(words[1:-1] * b + words[2:] * c)) if len(words) > 2 else words[:0]
+        grams = _grams(words, length)
         begin = 0
         for end in upto.tolist():
             n = end - begin
-            if n >= SHINGLE:
-                yield np.unique(triples[begin:end - 2])
+            if n >= length:
+                yield np.unique(grams[begin:end - length + 1])
             elif n:
-                yield _mixed(words[begin:begin + 1] * a + (words[end - 1:end] * b if n == 2 else np.uint64(n)))
+                yield _grams(words[begin:end], n)
             else:
                 yield words[:0]
             begin = end
@@ -126,42 +136,42 @@ def _arrays(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64), pa.int64()))
 
 
-def suspects(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def suspects(texts: DataFrame, length: int, near: int) -> tuple[DataFrame, DataFrame]:
     """One row per text with the size and 128-bit checksum (hi, lo) of its set, and the ``lo`` of sets that may have a partner.
 
     ``texts`` has id, tie, doc_id and text (bytes).
     """
     def measure(batches):
         for batch in slices(batches):
-            sets = list(shingle_sets(batch.column(3).to_pylist()))
+            sets = list(shingle_sets(batch.column(3).to_pylist(), length))
             marks = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), ">i8") for s in sets]
             n = np.array([len(s) for s in sets], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(n), pa.array([int(m[0]) for m in marks], pa.int64()), pa.array([int(m[1]) for m in marks], pa.int64()),
-                 _arrays([s[:_lost(len(s)) + _extra(len(s))] for s in sets])], names=["id", "tie", "doc_id", "n", "hi", "lo", "least"])
+                 _arrays([s[:_lost(len(s), near) + _extra(len(s), near)] for s in sets])], names=["id", "tie", "doc_id", "n", "hi", "lo", "least"])
 
     sized = materialize(texts.select("id", "tie", "doc_id", "text").mapInArrow(
         measure, "id bigint, tie bigint, doc_id bigint, n bigint, hi bigint, lo bigint, least array<bigint>"))
     least = sized.select("lo", "n", F.explode("least").alias("hash"))
     # Written, so that both sides of the join are shuffled for it and a hot key can be split.
     common = materialize(least.groupBy("hash").agg(F.count("*").alias("_n")).where("_n > 1").select("hash"))
-    # Two partners share what the smaller one has to; it has NEAR per cent of this set's shingles at least.
-    need = F.expr(f"((n * {NEAR} + 99) div 100 * {100 - NEAR} div 100) + 1")
+    # Two partners share what the smaller one has to; it has ``near`` per cent of this set's shingles at least.
+    need = F.expr(f"((n * {near} + 99) div 100 * {100 - near} div 100) + 1")
     found = least.join(common, "hash").groupBy("lo", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= need)
     return sized.drop("least"), found.select("lo").distinct()
 
 
-def _regions(sets: DataFrame) -> DataFrame:
+def _regions(sets: DataFrame, near: int) -> DataFrame:
     """(region, sid): the shingles that stand first in each set's rare-first order and in that of another set."""
     def candidates(batches):
         for batch in slices(batches):
             ids, hashes, lost = [], [], []
             for sid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 whole = np.frombuffer(data, np.uint64)
-                k = max(int(np.searchsorted(whole, np.uint64(int(RANKED * 2**64)))), _lost(len(whole)) + 1)
+                k = max(int(np.searchsorted(whole, np.uint64(int(RANKED * 2**64)))), _lost(len(whole), near) + 1)
                 hashes.append(whole[:k])
                 ids.append(np.full(len(hashes[-1]), sid))
-                lost.append(np.full(len(hashes[-1]), _lost(len(whole))))
+                lost.append(np.full(len(hashes[-1]), _lost(len(whole), near)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(hashes).view(np.int64), pa.int64()),
                                               pa.array(np.concatenate(lost), pa.int64())], names=["sid", "hash", "lost"])
 
@@ -195,12 +205,12 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(both.mapInArrow(measure, "sid bigint, pivot bigint, distance double"))
 
 
-def _join_round(members: DataFrame, sets: DataFrame, draws: int, seed: int) -> tuple[DataFrame, DataFrame]:
+def _join_round(members: DataFrame, sets: DataFrame, draws: int, seed: int, near: int) -> tuple[DataFrame, DataFrame]:
     """Links found with this round's pivots, and the members of the next round's regions, from rows of (region, sid, minor)."""
     draw = F.pmod(F.xxhash64(F.lit(seed), "sid"), F.lit(draws))
     pivots = materialize(members.where("minor").groupBy("region", draw.alias("draw")).agg(F.min("sid").alias("pivot")).select("region", "pivot"))
     met = materialize(members.select("region", "sid").join(pivots, "region").where("sid <> pivot"))
-    eps = (100 - NEAR) / 100
+    eps = (100 - near) / 100
     reach = 3 * eps
     # Sets of so different sizes that their distance is beyond any window are not compared.
     sizes = sets.select("sid", "n")
@@ -254,19 +264,19 @@ def _open_regions(members: DataFrame, found: DataFrame | None) -> DataFrame:
         "region", "sid", (F.lit(found is None) | (F.col("component") != F.col("main"))).alias("minor")))
 
 
-def links(sets: DataFrame) -> DataFrame | None:
+def links(sets: DataFrame, near: int) -> DataFrame | None:
     """(sid, pivot, distance): links enough to connect whatever is linked, from rows of (sid, n, shingles); None if there are none."""
-    members, found, draws, seed = _regions(sets).distinct(), None, 1, 0
+    members, found, draws, seed = _regions(sets, near).distinct(), None, 1, 0
     while True:
         members = _open_regions(members, found)
         if members.isEmpty():
             return found
-        new, members = _join_round(members, sets, draws, seed)
+        new, members = _join_round(members, sets, draws, seed, near)
         found = materialize(new if found is None else found.unionByName(new))
         draws, seed = draws * MORE, seed + 1
 
 
-def near_components(docs: DataFrame, text: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, text: str = "text", length: int = SHINGLE, near: int = NEAR) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id``, the least ``doc_id`` reachable by links, for every row of ``docs``.
 
     Besides, ``id`` and ``tie`` (the row's key) and ``stays``: whether the row is the first of its component.
@@ -274,18 +284,18 @@ def near_components(docs: DataFrame, text: str = "text") -> DataFrame:
     data = whole_text(text).cast("binary")
     doc_id = F.col("doc_id").cast("bigint")
     texts = docs.select(F.coalesce(doc_id, F.lit(-(1 << 63))).alias("id"), F.xxhash64(data).alias("tie"), doc_id.alias("doc_id"), data.alias("text"))
-    sized, suspected = suspects(texts)
+    sized, suspected = suspects(texts, length, near)
     points = sized.where("n > 0").join(suspected, "lo").groupBy("hi", "lo", "n").agg(F.min(F.struct("id", "tie")).alias("one"))
     points = materialize(points.withColumn("sid", F.monotonically_increasing_id()).select("sid", "hi", "lo", "n", "one.*"))
 
     def gather(batches):
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([s.tobytes() for s in shingle_sets(batch.column(2).to_pylist())], pa.binary())],
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([s.tobytes() for s in shingle_sets(batch.column(2).to_pylist(), length)], pa.binary())],
                                              names=["sid", "n", "shingles"])
 
     sets = materialize(texts.select("id", "tie", "text").join(points.select("id", "tie", "sid", "n"), ["id", "tie"]).select("sid", "n", "text")
                        .mapInArrow(gather, "sid bigint, n bigint, shingles binary").dropDuplicates(["sid"]))
-    found = links(sets)
+    found = links(sets, near)
     if found is None:
         group = points.select("hi", "lo", F.col("sid").alias("component")).limit(0)
     else:
@@ -308,12 +318,12 @@ def near_components(docs: DataFrame, text: str = "text") -> DataFrame:
                          F.coalesce(row == F.col("_first"), F.lit(True)).alias("stays"))
 
 
-def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", length: int = SHINGLE, near: int = NEAR) -> DataFrame:
     """``docs`` with one row of each component: that of least ``doc_id`` (null last), and of least text hash among equal ids.
 
     Rows without shingles are components of their own; rows repeated exactly count once.
     """
     data = whole_text(text).cast("binary")
     keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), "_tie": F.xxhash64(data)})
-    staying = near_components(docs, text).where("stays").select(F.col("id").alias("_id"), F.col("tie").alias("_tie")).distinct()
+    staying = near_components(docs, text, length, near).where("stays").select(F.col("id").alias("_id"), F.col("tie").alias("_tie")).distinct()
     return keyed.join(staying, ["_id", "_tie"]).dropDuplicates(["_id", "_tie"]).select(*docs.columns)
