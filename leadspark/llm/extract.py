@@ -1,7 +1,9 @@
 """Main text of web pages by composite text density.
 
-A page's tags and texts are read in one pass into a light tree. Parts that no article has (menus, scripts, forms, adverts,
-notices, reader comments and the like, told by tag, role, class or id) are left out. For every remaining node the composite
+A page's tags and texts are read in one pass into a light tree; omitted end tags are implied as HTML has it, inside parts that
+are left out too. Parts that no article has are left out: menus, scripts, forms and the like, told by tag, and hidden ones; adverts,
+notices, reader comments and the like, told by role, class or id, unless they are an ``article`` or ``main`` or hold most of
+the page's text outside links (reader comments: also all its ``h1``, ``article`` and ``main``). For every remaining node the composite
 density is computed (Sun, Song and Liao, "DOM Based Content Extraction via Text Density", 2011): characters per tag, times a
 logarithm that falls as more of the characters and tags belong to links. A node's density sum adds its children's densities.
 The node of the greatest sum is the core of the article; the least density on the path from it to the body is the
@@ -28,8 +30,8 @@ from leadspark.llm.common import slices
 
 _TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])")
 _REST = re.compile(r"""((?:[^>=]|=\s*(?:"[^"]*"|'[^']*')?)*+)>""")
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 
 _RAW = frozenset("script style textarea title noscript iframe xmp".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,61 +42,82 @@ _BLOCK = frozenset("address article aside blockquote body br center dd details d
                    "tbody td template textarea tfoot th thead title tr ul".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HOME = frozenset(("article", "main"))
+_TITLES = frozenset(("h1", "article", "main"))
+# An end tag reaches no further up than these, that of a part of a table than the second set.
+_SCOPE = frozenset("table caption td th template object marquee applet".split())
+_TABLE_SCOPE = frozenset(("table", "template"))
+_TABLE = frozenset("table caption thead tbody tfoot tr td th".split())
+_ITEM_STOPS = (_BLOCK | _SCOPE | {"button"}) - {"address", "div", "p"}
 # An opening tag ends these open ones, up to the nearest of the second set.
-_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
-         "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}),
-         "option": ({"option"}, {"select"})}
+_ENDS = {"li": ({"li"}, _ITEM_STOPS), "dt": ({"dt", "dd"}, _ITEM_STOPS), "dd": ({"dt", "dd"}, _ITEM_STOPS),
+         "td": ({"td", "th"}, {"tr", *_TABLE_SCOPE}), "th": ({"td", "th"}, {"tr", *_TABLE_SCOPE}), "tr": ({"tr", "caption"}, _TABLE_SCOPE),
+         **{k: ({"thead", "tbody", "tfoot", "caption"}, _TABLE_SCOPE) for k in ("thead", "tbody", "tfoot")},
+         "option": ({"option"}, {"select"}), "optgroup": ({"optgroup"}, {"select"})}
+# Opening tags that end a paragraph which is left out.
+_END_P = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
+                   "h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
+# Any other tag ends an open head.
+_IN_HEAD = frozenset("html head base link meta script style title noscript template".split())
 # Words of a class, id or role that name what is no article.
 _JUNK_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promoted banner sidebar nav navbar navigation "
                         "menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification alert popup modal "
                         "newsletter subscribe subscription signup share sharing social related recommended comment comments disqus replies "
                         "widget toolbar pagination pager complementary contentinfo search dialog topbar skip".split())
+# Of these, what may be longer than the article itself.
+_REPLIES = frozenset("comment comments disqus replies".split())
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "first", "last", "chars", "links", "tags", "link_tags", "density", "sum", "children")
+    __slots__ = ("tag", "parent", "first", "last", "chars", "links", "tags", "link_tags", "titles", "density", "sum", "children", "out", "names")
 
-    def __init__(self, tag, parent, at, counts):
+    def __init__(self, tag, parent, at, counts, out=False, names=frozenset()):
         self.tag, self.parent, self.first, self.last = tag, parent, at, at
-        self.chars, self.links, self.tags, self.link_tags = counts
+        self.chars, self.links, self.tags, self.link_tags, self.titles = counts
         self.density = self.sum = 0.0
         self.children = []
+        self.out, self.names = out, names  # the root of a part left out by its tag; words that name what is no article
 
 
-def _is_junk(tag: str, attributes: str, at_home: bool) -> bool:
+def _judge(tag: str, attributes: str, at_home: bool) -> tuple[bool, frozenset]:
+    """Whether a part is left out by its tag or as hidden, and the words of its names that speak against it."""
     if tag in _JUNK or tag == "header" and not at_home:
-        return True
-    if not attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    if tag in ("html", "body", "main"):
-        return False
-    names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower()
-    words = set(re.split(r"[^a-z0-9]+", re.sub(r"\d+", "", names)))
-    return bool(words & _JUNK_NAMES) or ("header" in words and not at_home and tag == "div")
+        return True, frozenset()
+    if not attributes or tag in ("html", "body"):
+        return False, frozenset()
+    names = []
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), a or b or c
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
+            return True, frozenset()
+        if name in ("class", "id", "role"):
+            names.append(value)
+    if not names or tag in _HOME:
+        return False, frozenset()
+    words = set(re.split(r"[^a-z0-9]+", re.sub(r"\d+", "", " ".join(names).lower())))
+    return False, frozenset(words & (_JUNK_NAMES | {"header"} if not at_home and tag == "div" else _JUNK_NAMES))
 
 
 def _parse(page: str) -> tuple[list[str], list[_Node]]:
     """The texts of a page in order, with a space at each block's ends, and its nodes, each with its range of texts."""
     pieces: list[str] = []
-    counts = [0, 0, 0, 0]
+    counts = [0, 0, 0, 0, 0]
     root = _Node("body", None, 0, counts)
     nodes, stack = [root], [root]
-    junk: list[str] = []  # open tags inside a part that is left out
-    link = home = 0
+    link = home = junk = named = 0  # open ones; junk: parts left out by tag; named: those with names that speak against them
     at, end = 0, len(page)
 
     def close(node):
-        nonlocal link, home
+        nonlocal link, home, junk, named
         stack.pop()
-        if node.tag in _BLOCK:
+        if node.out or node.names or not junk and node.tag in _BLOCK:
             pieces.append(" ")
         link -= node.tag == "a"
         home -= node.tag in _HOME
+        junk -= node.out
+        named -= bool(node.names)
         node.last = len(pieces)
         node.chars, node.links = counts[0] - node.chars, counts[1] - node.links
-        node.tags, node.link_tags = counts[2] - node.tags, counts[3] - node.link_tags
+        node.tags, node.link_tags, node.titles = counts[2] - node.tags, counts[3] - node.link_tags, counts[4] - node.titles
 
     def close_to(tags, until=()):
         for k in range(len(stack) - 1, 0, -1):
@@ -112,6 +135,8 @@ def _parse(page: str) -> tuple[list[str], list[_Node]]:
         m = _TAG.match(page, tag_at) if tag_at >= 0 else None
         if tag_at >= 0 and m is None:
             text, tag_at = page[at:tag_at + 1], tag_at + 1
+        if junk and stack[-1].tag == "head" and text.strip():
+            close(stack[-1])
         if text and not junk:
             text = html.unescape(text) if "&" in text else text
             pieces.append(text)
@@ -136,28 +161,26 @@ def _parse(page: str) -> tuple[list[str], list[_Node]]:
             break
         at, tag, attributes = rest.end(), m[3].lower(), rest[1]
         if m[2]:
-            if junk:
-                if tag in junk:
-                    while junk.pop() != tag:
-                        pass
-                    if not junk:
-                        pieces.append(" ")
-            elif tag == "p" or tag in _BLOCK:
-                if not close_to({tag}):
-                    pieces.append(" ")
+            if tag in _TABLE:
+                closed = close_to({tag}, _TABLE_SCOPE)
+            elif tag in _BLOCK or tag in ("button", "object"):
+                closed = close_to({tag}, _SCOPE | {"button"} if tag == "p" else _SCOPE | {"ul", "ol"} if tag == "li" else _SCOPE)
             else:
-                close_to({tag}, _BLOCK)
+                closed = close_to({tag}, _BLOCK) or tag not in _BLOCK
+            if not closed and not junk:
+                pieces.append(" ")
             continue
-        if not junk:
-            if tag in _BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        close_to({"p"})
-                        break
-                    if stack[k].tag in _BLOCK:
-                        break
-            if tag in _ENDS:
-                close_to(*_ENDS[tag])
+        if junk and stack[-1].tag == "head" and tag not in _IN_HEAD:
+            close(stack[-1])
+        if tag in (_END_P if junk or named else _BLOCK):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag == "p":
+                    close_to({"p"})
+                    break
+                if stack[k].tag in _BLOCK or stack[k].tag in _SCOPE or stack[k].tag == "button":
+                    break
+        if tag in _ENDS:
+            close_to(*_ENDS[tag])
         if tag in _RAW:
             stop = re.compile(rf"</{tag}", re.I).search(page, at)
             if stop is None:
@@ -165,11 +188,17 @@ def _parse(page: str) -> tuple[list[str], list[_Node]]:
             close_tag = page.find(">", stop.end())
             at = end if close_tag < 0 else close_tag + 1
             continue
-        if junk or _is_junk(tag, attributes, home > 0):
-            if tag not in _VOID and not attributes.endswith("/"):
-                if not junk and tag in _BLOCK:
+        out, names = (False, frozenset()) if junk else _judge(tag, attributes, home > 0)
+        if junk or out:
+            if tag not in _VOID and tag not in ("html", "body") and not attributes.endswith("/"):
+                if out and tag in _BLOCK:
                     pieces.append(" ")
-                junk.append(tag)
+                junk += out
+                stack.append(_Node(tag, stack[-1], len(pieces), counts, out))
+                link += tag == "a"
+                home += tag in _HOME
+            continue
+        if names and (tag in _VOID or attributes.endswith("/")):
             continue
         if tag in _BLOCK:
             pieces.append(" ")
@@ -177,10 +206,12 @@ def _parse(page: str) -> tuple[list[str], list[_Node]]:
         if tag in _VOID or tag in ("html", "body"):
             continue
         counts[3] += tag == "a"
-        node = _Node(tag, stack[-1], len(pieces), counts)
+        counts[4] += tag in _TITLES
+        node = _Node(tag, stack[-1], len(pieces), counts, False, names)
         stack[-1].children.append(node)
         nodes.append(node)
         stack.append(node)
+        named += bool(names)
         link += tag == "a"
         home += tag in _HOME
     while stack:
@@ -188,6 +219,37 @@ def _parse(page: str) -> tuple[list[str], list[_Node]]:
     return pieces, nodes
 
 
+def _leave_out(pieces: list[str], nodes: list[_Node]) -> list[_Node]:
+    """The nodes without those whose names speak against them; their texts are blanked and counted no more."""
+    body = nodes[0]
+    whole, titles = body.chars - body.links, body.titles
+    left, gone = [], set()
+    for node in nodes:
+        most = 2 * (node.chars - node.links) > whole
+        if node.parent in gone or node.names and not (most and (node.titles == titles or not node.names & _REPLIES)):
+            gone.add(node)
+        else:
+            left.append(node)
+    for node in gone:
+        if node.parent not in gone:
+            pieces[node.first:node.last] = [" "] * (node.last - node.first)
+    for parent in {node.parent for node in gone} - gone:
+        parent.children = [c for c in parent.children if c not in gone]
+    less = {}
+    for node in reversed(nodes):
+        if node in gone and node.parent in gone:
+            continue
+        lost = less.pop(node, (0, 0, 0, 0)) if node not in gone else (node.chars, node.links, node.tags + 1, node.link_tags + (node.tag == "a"))
+        if not any(lost):
+            continue
+        if node not in gone:
+            node.chars, node.links, node.tags, node.link_tags = (
+                node.chars - lost[0], node.links - lost[1], node.tags - lost[2], node.link_tags - lost[3])
+        if node.parent is not None:
+            less[node.parent] = tuple(x + y for x, y in zip(less.get(node.parent, (0, 0, 0, 0)), lost, strict=True))
+    return left
+
+
 def _weigh(nodes: list[_Node]) -> None:
     """Composite densities, and per node the sum of its children's."""
     body = nodes[0]
@@ -207,6 +269,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     pieces, nodes = _parse(page)
+    nodes = _leave_out(pieces, nodes)
     _weigh(nodes)
     body = nodes[0]
     core = max(nodes, key=lambda n: n.sum)

@@ -88,6 +88,34 @@ def test_main_text(spark):
     assert found.columns == ["page_id", "text", "n_chars"] and extract.extract(table.limit(0)).count() == 0
 
 
+STORY = "A long paragraph of the story, with words enough to be most of what the page says to anyone. "
+MORE_PAGES = {
+    # End tags that HTML lets a page omit, in parts that are left out.
+    f"<body><ul><li class='social'>X<li>Y</ul><p>{STORY}": f"Y {STORY}",
+    f"<article><p class='ad'>Buy<br>now<p>{STORY}</article>": STORY, f"<article><p class='ad'>Buy<div>{STORY}</div></article>": STORY,
+    f"<article><div><nav><a href=a>Home</div><p>{STORY}</article>": STORY,
+    f"<article><dl><dt class=ad>Buy<dd>{STORY}</dl></article>": STORY,
+    f"<article><table><tr class=ad><td>Buy<tr><td>{STORY}</table></article>": STORY,
+    f"<article><table><thead class=ad><tr><td>Buy<tbody><tr><td>{STORY}</table></article>": STORY,
+    f"<article><ul><li hidden>Buy<li>{STORY}</ul></article>": STORY, f"<article><p hidden>Buy<br>now<p>{STORY}</article>": STORY,
+    f"<html><head><meta charset=utf-8><title>T</title><body><p>{STORY}": STORY, f"<head><title>T</title><p>{STORY}": STORY,
+    f"<article><nav><ul><li>a<li>b</ul>c</nav><p>{STORY}</article>": STORY,
+    f"<article><aside><table><tr><td>x</div></table>y</aside>{STORY}</article>": STORY,
+    # Names do not drop an article, nor what holds most of the page.
+    f"<div class='content-sidebar-wrap'><main><h1>T</h1><p>{STORY}</main><div class=sidebar>Side</div></div>": f"T {STORY}",
+    f"<article class='post has-sidebar'><p>{STORY}<div class=widget>W</div></article>": STORY,
+    f"<body><div class='social-story'><p>{STORY}<p>{STORY}</div><div class=ad>Buy</div>": STORY * 2,
+    f"<body><article><h1>T</h1><p>{STORY}</article><div id=comments><p>{STORY}<p>{STORY}<p>{STORY}</div>": f"T {STORY}",
+    # Only the attribute hides, not the word.
+    f"<article><p title='the hidden truth'>{STORY}<p class='hidden x'>And more.<p style='display: none'>x<p aria-hidden=true>y</article>": f"{STORY}And more.",
+}
+
+
+def test_main_text_of_omitted_ends_and_names():
+    for page, text in MORE_PAGES.items():
+        assert extract.main_text(page) == text.strip(), page
+
+
 # --------------------------------------------------------------------------------------------------- sharding
 
 @pytest.mark.parametrize("shards", [4, 40])
