@@ -144,6 +144,21 @@ def test_large_group_fills_shards(spark):
     assert {r["n"] for r in found} <= {89, 90, 91} and sum(r["hot"] >= 80 for r in found) >= 2
 
 
+def test_groups_touch_no_more_shards_than_they_need(spark):
+    # A third of all rows in one group needs 14 of 40 shards; the rest are pairs and fours, so that nothing is mere filling.
+    group = F.when(F.col("id") < 1000, "hot").when(F.col("id") < 2000, F.concat(F.lit("p"), F.floor(F.col("id") / 2))).otherwise(
+        F.concat(F.lit("t"), F.floor(F.col("id") / 4)))
+    items = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(100).alias("size"), group.alias("group"))
+    found = sharding.assign(items, 40).collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(3000))
+    assert set(Counter(r["shard"] for r in found).values()) <= {74, 75, 76}
+    spread = defaultdict(set)
+    for r in found:
+        spread[r["group"]].add(r["shard"])
+    assert len(spread["hot"]) <= 14
+    assert sum(len(s) > 1 for g, s in spread.items() if g != "hot") <= 40
+
+
 # ----------------------------------------------------------------------------------------- encoding and records
 
 def test_bpe_equals_library(spark, rows, docs, empty, tokenizer):
