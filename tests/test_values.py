@@ -88,3 +88,19 @@ def test_large_numbers_keep_their_digits(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = {r[0]: r[1] for r in df.select("t", values.integer(F.col("t"))).collect()}
     assert got == {**{t: str(int(float(t))) for t in texts if t not in ("1e39", "3 cars")}, "1e39": None, "3 cars": "3"}
+
+
+def test_date_notations_of_the_reference(spark):
+    notations = {
+        "date": [("Mon Jan 5 2026", "01/05/2026"), ("Monday, January 5, 2026", "01/05/2026"), ("2026-Jan-05", "01/05/2026"),
+                 ("Jan-05-2026", "01/05/2026"), ("Jan 5 26", "01/05/2026"), ("6/7/8", "06/07/2008"), ("1990 March 3", "03/03/1990"),
+                 ("010526", "01/05/2026"), ("990105", "01/05/1999"), ("Tue 1/6/2026", "01/06/2026"), ("1/5/2026 3pm", "01/05/2026"),
+                 ("Monday", None), ("Mon Jan 2026", None), ("13/13/26", None), ("Jan 32 2026", None)],
+        "datetime": [("1/5/2026 3 PM", "01/05/2026 15:00"), ("1/5/2026 3pm", "01/05/2026 15:00"), ("1/5/2026 12 am", "01/05/2026"),
+                     ("20260105T103000", "01/05/2026 10:30"), ("1/5/2026 13 PM", None), ("20260105T253000", None),
+                     ("Mon Jan 5 2026 10:30", "01/05/2026 10:30"), ("1/5/2026 10:30 PM", "01/05/2026 22:30")],
+    }
+    for kind, cases in notations.items():
+        rows = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(cases)], "i int, v string")
+        got = rows.select("i", values.standardize(F.col("v"), kind, F.lit("2026-07-01").cast("date")).alias("o")).orderBy("i")
+        assert [(cases[r["i"]][0], r["o"]) for r in got.collect()] == cases
