@@ -34,13 +34,11 @@ from pyspark.sql import functions as F
 
 from leadspark.llm.common import slices, whole_text
 from leadspark.operators.components import connected_components
-from leadspark.operators.staging import materialize
+from leadspark.operators.staging import materialize, release, scratch
 
 # Words per shingle and least similarity in per cent, unless a caller names others.
 SHINGLE = 3
 NEAR = 90
-# Share of the hash range whose shingles are ordered by rarity when suspects are put into regions.
-RANKED = 0.4
 # Pivots per region grow by this factor from round to round.
 MORE = 16
 # A region is divided into its cells if these have at most so many times its members.
@@ -162,76 +160,76 @@ def suspects(texts: DataFrame, length: int, near: int) -> tuple[DataFrame, DataF
 
 
 def _regions(sets: DataFrame, near: int) -> DataFrame:
-    """(region, sid): the shingles that stand first in each set's rare-first order and in that of another set."""
-    def candidates(batches):
+    """(region, sid, lead): the shingles that stand first in each set's rare-first order and in that of another set.
+
+    What follows a pair's first common shingle bounds how much they share. ``lead`` marks members of whom enough follows for a partner of
+    their own size or more; the smaller of two partners has it, so members without it need not meet each other.
+    """
+    def listed(batches):
         for batch in slices(batches):
-            ids, hashes, lost = [], [], []
-            for sid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                whole = np.frombuffer(data, np.uint64)
-                k = max(int(np.searchsorted(whole, np.uint64(int(RANKED * 2**64)))), _lost(len(whole), near) + 1)
-                hashes.append(whole[:k])
-                ids.append(np.full(len(hashes[-1]), sid))
-                lost.append(np.full(len(hashes[-1]), _lost(len(whole), near)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(hashes).view(np.int64), pa.int64()),
-                                              pa.array(np.concatenate(lost), pa.int64())], names=["sid", "hash", "lost"])
-
-    rows = materialize(sets.select("sid", "shingles").mapInArrow(candidates, "sid bigint, hash bigint, lost bigint"))
+            hashes = [np.frombuffer(data, np.uint64) for data in batch.column(1).to_pylist()]
+            which = np.repeat(batch.column(0).to_numpy(), [len(h) for h in hashes])
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.uint64), *hashes]).view(np.int64), pa.int64())],
+                                             names=["sid", "hash"])
+
+    rows = materialize(sets.select("sid", "shingles").mapInArrow(listed, "sid bigint, hash bigint"))
     common = materialize(rows.groupBy("hash").agg(F.count("*").alias("df")).where("df > 1"))
     # Shingles of one set alone come first in its order and link it to nobody: their number shortens the rest.
-    ranked = F.expr(f"hash >= 0 and hash < {int(RANKED * 2**64) - 1}") if RANKED < 0.5 else F.expr(f"hash >= 0 or hash < {int(RANKED * 2**64) - (1 << 64)}")
-    shared = rows.join(common, "hash").select("sid", "hash", "df", ranked.alias("ranked"))
-    alone = rows.groupBy("sid", "lost").agg(F.count(F.when(ranked, 1)).alias("here"))
-    listed = shared.groupBy("sid").agg(
-        F.array_sort(F.collect_list(F.struct((~F.col("ranked")).alias("late"), F.when(F.col("ranked"), F.col("df")).otherwise(0).alias("df"), "hash"))).alias("order"),
-        F.count(F.when(F.col("ranked"), 1)).alias("both"))
-    front = listed.join(alone, "sid").select("sid", F.explode(F.slice("order", 1, F.greatest(F.lit(0), (
-        F.col("lost") + 1 - (F.col("here") - F.col("both"))).cast("int")))).alias("_s")).select("sid", F.col("_s")["hash"].alias("region"))
+    order = rows.join(common, "hash").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("df", "hash"))).alias("order"))
+    # The place of a shingle in the whole order, and how many of the set it and its followers are.
+    alone = F.col("n") - F.size("order")
+    front = order.join(sets.select("sid", "n"), "sid").select("sid", "n", alone.alias("_alone"), F.posexplode(F.slice("order", 1, F.greatest(
+        F.lit(0), (F.expr(f"n * {100 - near} div 100") + 1 - alone).cast("int")))).alias("_at", "_s")).select(
+        "sid", F.col("_s")["hash"].alias("region"), ((F.col("n") - F.col("_alone") - F.col("_at")) * (100 + near) >= 2 * near * F.col("n")).alias("lead"))
     return materialize(front)
 
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(sid, pivot, distance) of pairs of sets."""
+def _distances(pairs: DataFrame, sets: DataFrame, near: int) -> DataFrame:
+    """(sid, pivot, distance, linked) of pairs of sets; links are told in whole numbers."""
     def measure(batches):
         for batch in slices(batches):
-            out = []
+            out, linked = [], []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(1 - both / (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["sid", "pivot", "distance"])
+                union = len(x) + len(y) - both
+                out.append(1 - both / union)
+                linked.append(100 * both >= near * union)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64()), pa.array(linked, pa.bool_())],
+                                             names=["sid", "pivot", "distance", "linked"])
 
     pivots = sets.select(F.col("sid").alias("pivot"), F.col("shingles").alias("other"))
     both = pairs.join(pivots, "pivot").join(sets.select("sid", "shingles"), "sid").select("sid", "pivot", "shingles", "other")
-    return materialize(both.mapInArrow(measure, "sid bigint, pivot bigint, distance double"))
+    return materialize(both.mapInArrow(measure, "sid bigint, pivot bigint, distance double, linked boolean"))
 
 
 def _join_round(members: DataFrame, sets: DataFrame, draws: int, seed: int, near: int) -> tuple[DataFrame, DataFrame]:
-    """Links found with this round's pivots, and the members of the next round's regions, from rows of (region, sid, minor)."""
+    """Links found with this round's pivots, and the members of the next round's regions, from rows of (region, sid, lead, minor)."""
     draw = F.pmod(F.xxhash64(F.lit(seed), "sid"), F.lit(draws))
     pivots = materialize(members.where("minor").groupBy("region", draw.alias("draw")).agg(F.min("sid").alias("pivot")).select("region", "pivot"))
-    met = materialize(members.select("region", "sid").join(pivots, "region").where("sid <> pivot"))
+    met = materialize(members.select("region", "sid", "lead").join(pivots, "region").where("sid <> pivot"))
     eps = (100 - near) / 100
     reach = 3 * eps
     # Sets of so different sizes that their distance is beyond any window are not compared.
     sizes = sets.select("sid", "n")
     pairs = met.select("sid", "pivot").distinct().join(sizes, "sid").join(sizes.select(F.col("sid").alias("pivot"), F.col("n").alias("m")), "pivot")
-    measured = _distances(pairs.where(1 - F.least("n", "m") / F.greatest("n", "m") <= reach + eps + 1e-9).select("sid", "pivot"), sets)
-    links = measured.where(F.col("distance") <= eps + 1e-9)
+    measured = _distances(pairs.where(1 - F.least("n", "m") / F.greatest("n", "m") <= reach + eps + 1e-9).select("sid", "pivot"), sets, near)
+    links = measured.where("linked").drop("linked")
     # Pivots have met their whole region; the others go on.
     rest = met.join(pivots.select("region", F.col("pivot").alias("sid")), ["region", "sid"], "left_anti")
-    known = materialize(rest.join(measured, ["sid", "pivot"], "left").withColumn("distance", F.coalesce("distance", F.lit(1.0))))
-    home = materialize(known.groupBy("region", "sid").agg(F.min("distance").alias("nearest")))
-    cells = known.join(home, ["region", "sid"]).where(
+    known = materialize(rest.join(measured.drop("linked"), ["sid", "pivot"], "left").withColumn("distance", F.coalesce("distance", F.lit(1.0))))
+    home = materialize(known.groupBy("region", "sid").agg(F.min("distance").alias("nearest"), F.max("lead").alias("lead")))
+    cells = known.drop("lead").join(home, ["region", "sid"]).where(
         (F.col("nearest") <= reach) & (F.col("distance") <= F.col("nearest") + 2 * eps + 1e-9)).select(
-        "region", "sid", F.xxhash64("region", "pivot").alias("cell"))
-    outer = home.where(F.col("nearest") > reach - eps - 1e-9).select("region", "sid", F.xxhash64("region", F.lit("outer")).alias("cell"))
+        "region", "sid", "lead", F.xxhash64("region", "pivot").alias("cell"))
+    outer = home.where(F.col("nearest") > reach - eps - 1e-9).select("region", "sid", "lead", F.xxhash64("region", F.lit("outer")).alias("cell"))
     parts = materialize(cells.unionByName(outer))
     # Where the cells overlap too much to be a division, the region goes on whole.
     placed = parts.groupBy("region").agg(F.count("*").alias("_placed"))
     divided = home.groupBy("region").agg(F.count("*").alias("_all")).join(placed, "region").select(
         "region", (F.col("_placed") <= OVERLAP * F.col("_all")).alias("divided"))
-    whole = home.join(divided.where("not divided"), "region").select("region", "sid")
-    return links, whole.unionByName(parts.join(divided.where("divided"), "region").select(F.col("cell").alias("region"), "sid"))
+    whole = home.join(divided.where("not divided"), "region").select("region", "sid", "lead")
+    return links, whole.unionByName(parts.join(divided.where("divided"), "region").select(F.col("cell").alias("region"), "sid", "lead"))
 
 
 def _labels(found: DataFrame) -> DataFrame:
@@ -246,33 +244,40 @@ def _labels(found: DataFrame) -> DataFrame:
 
 
 def _open_regions(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """(region, sid, minor): regions that are not one component yet, one of those with the same members.
+    """(region, sid, lead, minor): regions that are not one component yet, one of those with the same members.
 
-    ``minor`` members are outside the region's most frequent component: only they need to be pivots, as members of one
-    component need not meet. Before there are links, everyone is.
+    Only ``minor`` members need to be pivots. A link has a leading member, and members of one component need not meet, so it is enough that
+    all leading members are pivots, or all members outside the region's most frequent component, whichever are fewer; a region without
+    leading members is done. Before there are links, every member stands alone.
     """
     label = None if found is None else _labels(found)
     known = (members.withColumn("component", F.col("sid")) if label is None else
              members.join(label, "sid", "left").withColumn("component", F.coalesce("component", "sid")))
     known = materialize(known)
-    shares = known.groupBy("region", "component").agg(F.count("*").alias("n"))
-    mark = F.xxhash64("sid").cast("decimal(38,0)")
-    sums = known.groupBy("region").agg(F.count("*").alias("size"), F.sum(mark).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "sid")).alias("xor"))
-    main = shares.groupBy("region").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("components"))
-    kept = main.where("components > 1").join(sums, "region").groupBy("size", "sum", "xor").agg(F.min_by("main", "region").alias("main"), F.min("region").alias("region"))
-    return materialize(known.join(kept.select("region", "main"), "region").select(
-        "region", "sid", (F.lit(found is None) | (F.col("component") != F.col("main"))).alias("minor")))
+    shares = known.groupBy("region", "component").agg(F.count("*").alias("n"), F.count_if("lead").alias("leads"))
+    mark = F.xxhash64("sid", "lead").cast("decimal(38,0)")
+    sums = known.groupBy("region").agg(F.count("*").alias("size"), F.sum(mark).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "sid", "lead")).alias("xor"))
+    main = shares.groupBy("region").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("components"),
+                                        F.sum("n").alias("all"), F.sum("leads").alias("leads"))
+    kept = main.where("components > 1 and leads > 0").join(sums, "region").groupBy("size", "sum", "xor").agg(
+        F.min_by("main", "region").alias("main"), F.min("region").alias("region"), F.first("all").alias("all"), F.first("leads").alias("leads"))
+    outside = F.col("component") != F.col("main")["component"]
+    minor = F.when(F.col("all") - F.col("main")["n"] < F.col("leads"), outside).otherwise(F.col("lead"))
+    return materialize(known.join(kept.select("region", "main", "all", "leads"), "region").select("region", "sid", "lead", minor.alias("minor")))
 
 
 def links(sets: DataFrame, near: int) -> DataFrame | None:
     """(sid, pivot, distance): links enough to connect whatever is linked, from rows of (sid, n, shingles); None if there are none."""
-    members, found, draws, seed = _regions(sets, near).distinct(), None, 1, 0
+    members, found, draws, seed = _regions(sets, near), None, 1, 0
     while True:
         members = _open_regions(members, found)
         if members.isEmpty():
             return found
-        new, members = _join_round(members, sets, draws, seed, near)
-        found = materialize(new if found is None else found.unionByName(new))
+        with scratch(sets.sparkSession) as keep:
+            new, rest = _join_round(members, sets, draws, seed, near)
+            before = found, members
+            found, members = keep(new if found is None else found.unionByName(new)), keep(rest)
+        release(*before)
         draws, seed = draws * MORE, seed + 1
 
 
@@ -281,6 +286,11 @@ def near_components(docs: DataFrame, text: str = "text", length: int = SHINGLE,
 
     Besides, ``id`` and ``tie`` (the row's key) and ``stays``: whether the row is the first of its component.
     """
+    with scratch(docs.sparkSession) as keep:
+        return keep(_components(docs, text, length, near))
+
+
+def _components(docs: DataFrame, text: str, length: int, near: int) -> DataFrame:
     data = whole_text(text).cast("binary")
     doc_id = F.col("doc_id").cast("bigint")
     texts = docs.select(F.coalesce(doc_id, F.lit(-(1 << 63))).alias("id"), F.xxhash64(data).alias("tie"), doc_id.alias("doc_id"), data.alias("text"))
@@ -305,9 +315,6 @@ def near_components(docs: DataFrame, text: str = "text", length: int = SHINGLE,
     def place(kind: int, x: Column, y: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), x.cast("bigint").alias("x"), y.cast("bigint").alias("y"))
 
-    def place(kind: int, x: Column, y: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), x.cast("bigint").alias("x"), y.cast("bigint").alias("y"))
-
     row = F.struct(F.col("doc_id").isNull().alias("later"), "id", "tie")
     rows = materialize(sized.join(group, ["hi", "lo"], "left").select("id", "tie", "doc_id", "n", F.when(
         F.col("n") == 0, place(0, F.col("id"), F.col("tie"))).when(F.col("component").isNotNull(), place(1, F.col("component"), F.lit(0))).otherwise(

@@ -72,7 +72,9 @@ def mix(docs: DataFrame, text: str = "text", weights=WEIGHTS, ramps=RAMPS, most:
     ``placements`` is an array of (pass, position, words), one for each time the mix takes the document.
     """
     own = [c for c in docs.columns if c not in (text, "size", "source_size", "target", "taken", "placements")]
-    sized = materialize(docs.select(*own, n_words(text).alias("size"), F.xxhash64(whole_text(text)).alias("_text"),
+    # Other columns travel under names of their own, which clash with nothing here.
+    held = {c: f"_own_{i}" for i, c in enumerate(own)}
+    sized = materialize(docs.select("doc_id", "source", *[F.col(c).alias(h) for c, h in held.items()], n_words(text).alias("size"), F.xxhash64(whole_text(text)).alias("_text"),
                                     F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_order")))
     goals = targets(sized.select("source", "size"), weights, ramps, most).withColumnRenamed("source", "_source")
     placed = running_totals(sized, ["source"], [F.col(c) for c in ("_order", "doc_id", "size", "_text")], "size", "_before")
@@ -84,8 +86,8 @@ def mix(docs: DataFrame, text: str = "text", weights=WEIGHTS, ramps=RAMPS, most:
         F.least(F.col("size"), wanted - p * F.col("source_size") - F.col("_before")).alias("words"))), lambda x: x["words"] > 0)
     taken = F.aggregate(F.col("placements"), F.lit(0).cast("bigint"), lambda total, x: total + x["words"])
     # Written before anything reads parts of it: the optimizer, when it prunes fields of these structs, loses their values.
-    placed = materialize(j.select(*own, "_text", "size", "source_size", "target", passes.alias("placements")))
-    return placed.select(*own, "_text", "size", "source_size", "target", taken.alias("taken"), "placements")
+    placed = materialize(j.select(*held.values(), "_text", "size", "source_size", "target", passes.alias("placements")))
+    return placed.select(*[F.col(h).alias(c) for c, h in held.items()], "_text", "size", "source_size", "target", taken.alias("taken"), "placements")
 
 
 def curriculum(mixed: DataFrame) -> DataFrame:

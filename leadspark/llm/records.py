@@ -85,8 +85,8 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(f"{root}/{name}")
                 out.write(MAGIC + bytes([words.kind.itemsize]))
-            for value in batch.column(1):
-                payload = words.encode(value.as_py()) + end
+            for encoded in words.encode_all(batch.column(1)):
+                payload = encoded + end
                 data = frame(payload)
                 out.write(data)
                 offsets.append(at)

@@ -138,7 +138,10 @@ def _even_out(state: DataFrame, shards: int, seed: int) -> DataFrame:
 
 def assign(items: DataFrame, shards: int) -> DataFrame:
     """Add ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard, by ``doc_id``) to rows of ``doc_id``,
-    ``size`` and ``group``."""
+    ``size`` and ``group``. Other columns are carried along; any of the names added is replaced."""
+    # They travel under names of their own, which clash with nothing here.
+    held = {c: f"_own_{i}" for i, c in enumerate(items.columns) if c not in ("doc_id", "size", "group", "shard", "slot")}
+    items = items.select("doc_id", "size", "group", *[F.col(c).alias(h) for c, h in held.items()])
     sized = items.withColumn("size", F.coalesce("size", F.lit(0)).cast("bigint"))
     sizes = sized.groupBy("group").agg((F.count("*") > 1).alias("linked"), F.sum("size").alias("weight")).select(
         F.col("group").alias("_g"), "linked", "weight")
@@ -163,4 +166,5 @@ def assign(items: DataFrame, shards: int) -> DataFrame:
     for seed in range(EVENINGS):
         state = materialize(_even_out(state, shards, 100 + seed))
     one = state.drop("linked", "weight", "settled").withColumn("_one", F.lit(1).cast("bigint"))
-    return running_totals(one, ["shard"], [F.col("doc_id"), F.col("group")], "_one", "slot").drop("_one")
+    return running_totals(one, ["shard"], [F.col("doc_id"), F.col("group")], "_one", "slot").select(
+        "doc_id", "size", "group", *[F.col(h).alias(c) for c, h in held.items()], "shard", "slot")

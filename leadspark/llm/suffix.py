@@ -1,14 +1,14 @@
-"""Removal of repeated byte strings by sorting suffixes in buckets around a cover sample.
+"""Removal of repeated strings, of bytes or of words, by sorting suffixes in buckets around a cover sample.
 
-A byte goes if it lies in a string of ``LENGTH`` bytes that also starts elsewhere, in the same text or another one. To know
-which suffixes agree over ``LENGTH`` bytes it is not needed to sort them all at once:
+A symbol goes if it lies in a string of ``length`` symbols that also starts elsewhere, in the same text or another one. To know
+which suffixes agree over that length it is not needed to sort them all at once:
 
 * A *cover sample* of positions is fixed first. Like a difference cover it guarantees that two places that agree over
-  ``LENGTH`` bytes have, at one and the same small shift, sample positions both; unlike residues of a modulus it is chosen by
-  content (a position whose ``NAME`` bytes hash least within some window), which needs an eighth of the positions.
-  Each sample suffix gets the hash of its first ``NAME`` bytes as its name; names that occur once end there.
+  the length have, at one and the same small shift, sample positions both; unlike residues of a modulus it is chosen by
+  content (a position whose first ``name`` symbols hash least within some window), which needs an eighth of the positions.
+  Each sample suffix gets the hash of its first symbols as its name; names that occur once end there.
 * All suffixes that start at most one window before a sample suffix belong to the *bucket* of its name. One block of buckets is
-  sorted at a time, by hashes of the ``LENGTH`` bytes from each start, which a short context around the sample
+  sorted at a time, by hashes of the strings from each start, which a short context around the sample
   position suffices to compute. Memory holds one block.
 * Long ties, buckets with more members than ``BLOCK``, are split at random into blocks. A block settles what agrees
   inside it, and hands on one suffix of each tie it found and those without a partner; these meet by their hash
@@ -23,25 +23,25 @@ long enough. An empty table gives an empty result. Other columns are not looked
 
 from __future__ import annotations
 
+import dataclasses
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadspark.llm.common import slices, whole_text
-from leadspark.operators.staging import materialize
+from leadspark.llm.common import GAPS, slices, whole_text
+from leadspark.operators.staging import materialize, scratch
 
 LENGTH = 400
-NAME = 64
-WINDOW = LENGTH - NAME + 1
-BEFORE = WINDOW - 1
-CONTEXT = BEFORE + LENGTH
 BLOCK = 512
-# Texts are hashed in slabs of about this many bytes, and contexts sorted in blocks of about this many rows.
+# Texts are hashed in slabs of about this many symbols, and contexts sorted in blocks of about this many rows.
 SLAB = 1 << 20
 ROWS = 1024
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _rng = np.random.default_rng(400)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -68,17 +68,65 @@ class _Powers:
 _POWERS = _Powers()
 
 
+@dataclasses.dataclass(frozen=True)
+class Unit:
+    """What strings consist of, bytes or words, and how long those are that go if they repeat."""
+
+    length: int = LENGTH
+    words: bool = False
+
+    @property
+    def name(self) -> int:
+        """Symbols that a sample position is chosen and named by."""
+        return max(1, self.length * 4 // 25)
+
+    @property
+    def window(self) -> int:
+        return self.length - self.name + 1
+
+    @property
+    def before(self) -> int:
+        return self.window - 1
+
+    @property
+    def context(self) -> int:
+        return self.before + self.length
+
+    @property
+    def kind(self) -> np.dtype:
+        return np.dtype("<u8" if self.words else "u1")
+
+    def symbols(self, text: bytes) -> np.ndarray:
+        """The text's bytes, or 64-bit hashes of its words."""
+        if not self.words:
+            return np.frombuffer(text, np.uint8)
+        return np.array([xxhash.xxh3_64_intdigest(w) for w in text.split()], np.uint64)
+
+    def size(self, text: Column) -> Column:
+        """The number of symbols of a text column (binary)."""
+        if not self.words:
+            return F.octet_length(text)
+        return F.size(F.filter(F.split(text.cast("string"), GAPS), lambda w: w != ""))
+
+    def places(self, text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Spans of symbols as spans of bytes; a word goes with the white space after it."""
+        if not self.words or not spans:
+            return spans
+        starts = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+        return [(starts[a], starts[b]) for a, b in spans]
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
 
 
 def string_hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of all strings of ``length`` along the last axis of ``data`` (bytes)."""
+    """Hashes of all strings of ``length`` along the last axis of ``data`` (bytes, or hashes of words)."""
     n = data.shape[-1]
     up, down = _POWERS.get(n)
     sums = np.zeros((*data.shape[:-1], n + 1), np.uint64)
-    np.cumsum(_BYTE[data] * up, axis=-1, out=sums[..., 1:])
+    np.cumsum((_BYTE[data] if data.dtype == np.uint8 else data) * up, axis=-1, out=sums[..., 1:])
     return _mixed((sums[..., length:] - sums[..., :-length]) * down[:n - length + 1])
 
 
@@ -93,46 +141,47 @@ def _sliding(values: np.ndarray, width: int, best: np.ufunc, worst: int) -> np.n
     return best(behind[:n - width + 1], ahead[width - 1:n])
 
 
-def sample_positions(names: np.ndarray) -> np.ndarray:
-    """Positions whose name is the least of some window of ``WINDOW`` names."""
-    least = _sliding(names, WINDOW, np.minimum, (1 << 64) - 1)
-    padded = np.zeros(len(names) + WINDOW - 1, np.uint64)
-    padded[WINDOW - 1:WINDOW - 1 + len(least)] = least
-    return np.flatnonzero(_sliding(padded, WINDOW, np.maximum, 0) == names)
+def sample_positions(names: np.ndarray, window: int) -> np.ndarray:
+    """Positions whose name is the least of some window of so many names."""
+    least = _sliding(names, window, np.minimum, (1 << 64) - 1)
+    padded = np.zeros(len(names) + window - 1, np.uint64)
+    padded[window - 1:window - 1 + len(least)] = least
+    return np.flatnonzero(_sliding(padded, window, np.maximum, 0) == names)
 
 
-def _samples(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and names of the cover sample of a text, slab by slab; a text shorter than LENGTH has none."""
-    data = np.frombuffer(text, np.uint8)
+def _samples(text: bytes, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and names of the cover sample of a text, slab by slab; a text shorter than the unit's length has none."""
+    data = unit.symbols(text)
     positions, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for at in range(0, len(data) - LENGTH + 1, SLAB):
-        names = string_hashes(data[at:at + SLAB + LENGTH - 1], NAME)
-        here = sample_positions(names)
+    for at in range(0, len(data) - unit.length + 1, SLAB):
+        names = string_hashes(data[at:at + SLAB + unit.length - 1], unit.name)
+        here = sample_positions(names, unit.window)
         positions.append(here + at)
         found.append(names[here].view(np.int64))
     positions, first = np.unique(np.concatenate(positions), return_index=True)
     return positions, np.concatenate(found)[first]
 
 
-def _own_starts(contexts: np.ndarray) -> np.ndarray:
+def _own_starts(contexts: np.ndarray, unit: Unit) -> np.ndarray:
     """Starts whose window has its least name, the leftmost if equal, at the sample position: each start is one sample's own."""
-    names = string_hashes(contexts, NAME)
-    least = names[:, BEFORE:BEFORE + 1]
-    own = np.ones((len(contexts), WINDOW), bool)
-    own[:, :-1] = np.minimum.accumulate(names[:, BEFORE - 1::-1], axis=1)[:, ::-1] > least
-    own[:, 1:] &= np.minimum.accumulate(names[:, BEFORE + 1:], axis=1) >= least
+    names, before = string_hashes(contexts, unit.name), unit.before
+    least = names[:, before:before + 1]
+    own = np.ones((len(contexts), unit.window), bool)
+    if before:
+        own[:, :-1] = np.minimum.accumulate(names[:, before - 1::-1], axis=1)[:, ::-1] > least
+        own[:, 1:] &= np.minimum.accumulate(names[:, before + 1:], axis=1) >= least
     return own
 
 
-def _settle(contexts: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows of contexts: hashes of the LENGTH bytes from each start, which starts agree with another one here, and the first
+def _settle(contexts: np.ndarray, before: np.ndarray, after: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of contexts: hashes of the unit's strings from each start, which starts agree with another one here, and the first
     start of each hash.
 
-    Column c stands for the start BEFORE - c bytes before the sample position.
+    Column c stands for the start ``unit.before`` - c symbols before the sample position.
     """
-    hashes = string_hashes(contexts, LENGTH)
-    back = BEFORE - np.arange(WINDOW)
-    real = (back[None, :] <= before[:, None]) & (LENGTH - back[None, :] <= after[:, None]) & _own_starts(contexts)
+    hashes = string_hashes(contexts, unit.length)
+    back = unit.before - np.arange(unit.window)
+    real = (back[None, :] <= before[:, None]) & (unit.length - back[None, :] <= after[:, None]) & _own_starts(contexts, unit)
     flat = np.flatnonzero(real)
     order = flat[np.argsort(hashes.ravel()[flat], kind="stable")]
     sorted_ = hashes.ravel()[order]
@@ -149,13 +198,13 @@ def _settle(contexts: np.ndarray, before: np.ndarray, after: np.ndarray) -> tupl
     return hashes, agree.reshape(hashes.shape), lead.reshape(hashes.shape)
 
 
-def _runs(agree: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, stop) of the bytes that runs of agreeing starts cover."""
+def _runs(agree: np.ndarray, at: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, stop) of the symbols that runs of agreeing starts cover."""
     edges = np.diff(np.pad(agree.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     rows, starts = np.nonzero(edges == 1)
     _, ends = np.nonzero(edges == -1)
-    origin = at[rows] - BEFORE
-    return rows, origin + starts, origin + ends - 1 + LENGTH
+    origin = at[rows] - unit.before
+    return rows, origin + starts, origin + ends - 1 + unit.length
 
 
 _KEY = ["id", "tie"]
@@ -166,12 +215,12 @@ def _column(values, kind):
     return pa.array(values, kind)
 
 
-def repeated_spans(texts: DataFrame, left_out: DataFrame, largest: int = BLOCK) -> DataFrame:
-    """(id, tie, start, stop) of repeated strings, overlapping, from rows of (id, tie, text) without the keys ``left_out``."""
+def repeated_spans(texts: DataFrame, left_out: DataFrame, largest: int = BLOCK, unit: Unit = Unit()) -> DataFrame:
+    """(id, tie, start, stop) in symbols of repeated strings, overlapping, from rows of (id, tie, text) without the keys ``left_out``."""
     def sample(batches):
         for batch in slices(batches):
             ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            parts = [_samples(t.as_py()) for t in batch.column(2)]
+            parts = [_samples(t.as_py(), unit) for t in batch.column(2)]
             which = np.repeat(np.arange(len(parts)), [len(p) for p, _ in parts])
             if len(which):
                 yield pa.RecordBatch.from_arrays(
@@ -190,12 +239,13 @@ def repeated_spans(texts: DataFrame, left_out: DataFrame, largest: int = BLOCK)
         for batch in slices(batches):
             out, seen = [], {}
             for id_, tie, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                symbols = unit.symbols(text)
                 for s in found:
                     at = s["at"]
-                    lo, hi = max(0, at - BEFORE), min(len(text), at + LENGTH)
-                    context = text[lo:hi]
+                    lo, hi = max(0, at - unit.before), min(len(symbols), at + unit.length)
+                    context = symbols[lo:hi].tobytes()
                     row = [s["name"], s["n"], id_, tie, at, at - lo, context, False]
-                    if hi - lo == CONTEXT:
+                    if hi - lo == unit.context:
                         mark = xxhash.xxh3_128_digest(context)
                         other = seen.setdefault(mark, row)
                         if other is not row:
@@ -219,22 +269,23 @@ def repeated_spans(texts: DataFrame, left_out: DataFrame, largest: int = BLOCK)
             gone = block.filter(pa.compute.invert(pa.compute.is_valid(block["context"])))
             if len(gone):
                 at = gone["at"].to_numpy()
-                yield gone["id"], gone["tie"], at - BEFORE, at + LENGTH, None
+                yield gone["id"], gone["tie"], at - unit.before, at + unit.length, None
             if not len(whole):
                 return
             at, before = whole["at"].to_numpy(), whole["before"].to_numpy()
             rows = whole["context"].to_pylist()
-            after = np.array([len(r) for r in rows]) - before
-            padded = b"".join(bytes(BEFORE - b) + r + bytes(LENGTH - a) for r, b, a in zip(rows, before.tolist(), after.tolist(), strict=True))
-            hashes, agree, lead = _settle(np.frombuffer(padded, np.uint8).reshape(-1, CONTEXT), before, after)
+            wide = unit.kind.itemsize
+            after = np.array([len(r) // wide for r in rows]) - before
+            padded = b"".join(bytes((unit.before - b) * wide) + r + bytes((unit.length - a) * wide) for r, b, a in zip(rows, before.tolist(), after.tolist(), strict=True))
+            hashes, agree, lead = _settle(np.frombuffer(padded, unit.kind).reshape(-1, unit.context), before, after, unit)
             agree[whole["settled"].to_numpy()] = True
-            which, start, stop = _runs(agree, at)
+            which, start, stop = _runs(agree, at, unit)
             yield whole["id"].take(pa.array(which)), whole["tie"].take(pa.array(which)), start, stop, None
             large = whole["n"].to_numpy() > largest
             which, c = np.nonzero(lead & large[:, None])
             if len(which):
-                start = at[which] - BEFORE + c
-                yield whole["id"].take(pa.array(which)), whole["tie"].take(pa.array(which)), start, start + LENGTH, hashes[which, c].view(np.int64)
+                start = at[which] - unit.before + c
+                yield whole["id"].take(pa.array(which)), whole["tie"].take(pa.array(which)), start, start + unit.length, hashes[which, c].view(np.int64)
 
         def emit(block: pa.Table):
             for id_, tie, start, stop, hashes in solve(block):
@@ -293,10 +344,11 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return [(a, b) for a, b in merged if a < b]
 
 
-def dedup(docs: DataFrame, text: str = "text", largest: int = BLOCK, characters: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", largest: int = BLOCK, characters: bool = False, unit: Unit = Unit()) -> DataFrame:
     """``docs`` without the text, with ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept`` (the other bytes).
 
-    A run may begin or end inside a character of several bytes; with ``characters`` such a character stays whole.
+    ``unit`` says how long the strings are that go, and whether in bytes or in words; words are told apart by their bytes alone, whatever
+    white space lies between. A run of bytes may begin or end inside a character; with ``characters`` such a character stays whole.
     """
     own = [c for c in docs.columns if c not in (text, "n_bytes", "n_removed", "n_spans", "kept")]
     # A row's key: its id (null as the least number) and its text's hash.
@@ -304,18 +356,19 @@ def dedup(docs: DataFrame, text: str = "text", largest: int = BLOCK, characters:
     held = [f"_own_{i}" for i in range(len(own))]
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(data).alias("tie"),
                         *[F.col(c).alias(h) for c, h in zip(own, held, strict=True)], data.alias("_text"))
-    sizes = materialize(texts.select("id", "tie", F.octet_length("_text").alias("n"), F.hash("_text").alias("check")).where(F.col("n") >= LENGTH))
-    copies = sizes.groupBy("tie", "n", "check").agg(F.count("*").alias("times"), F.min("id").alias("first")).where("times > 1")
-    copied = materialize(sizes.join(copies, ["tie", "n", "check"]).select("id", "tie", "n", (F.col("id") == F.col("first")).alias("stays")).distinct())
-    found = repeated_spans(texts.select("id", "tie", F.col("_text").alias("text")), copied.where("not stays").select(*_KEY), largest)
-    whole = copied.select(*_KEY, F.lit(0).cast("bigint").alias("start"), F.col("n").cast("bigint").alias("stop"))
-    spans = found.unionByName(whole).groupBy(*_KEY).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+    with scratch(docs.sparkSession) as keep:
+        sizes = materialize(texts.select("id", "tie", unit.size(F.col("_text")).alias("n"), F.hash("_text").alias("check")).where(F.col("n") >= unit.length))
+        copies = sizes.groupBy("tie", "n", "check").agg(F.count("*").alias("times"), F.min("id").alias("first")).where("times > 1")
+        copied = materialize(sizes.join(copies, ["tie", "n", "check"]).select("id", "tie", "n", (F.col("id") == F.col("first")).alias("stays")).distinct())
+        found = repeated_spans(texts.select("id", "tie", F.col("_text").alias("text")), copied.where("not stays").select(*_KEY), largest, unit)
+        whole = copied.select(*_KEY, F.lit(0).cast("bigint").alias("start"), F.col("n").cast("bigint").alias("stop"))
+        spans = keep(found.unionByName(whole).groupBy(*_KEY).agg(F.collect_list(F.struct("start", "stop")).alias("_spans")))
 
     def cut(batches):
         for batch in slices(batches):
             out = []
             for t, spans in zip(batch.column(len(own)).to_pylist(), batch.column(len(own) + 1).to_pylist(), strict=True):
-                spans = [(s["start"], s["stop"]) for s in spans or ()]
+                spans = unit.places(t, [(s["start"], s["stop"]) for s in spans or ()])
                 out.append((t, *remove(t, whole_characters(t, spans) if characters else spans)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(own)], _column([len(t) for t, _, _ in out], pa.int64()),

@@ -384,3 +384,71 @@ def test_fingerprints(spark, rows, docs, empty):
             a, b = shingles(text), shingles(other)
             assert abs(r[name] - (len(a & b) / len(a | b) if a | b else 1)) < 0.2
     assert minhash.compare_with_edits(empty).count() == 0
+
+
+def repeated_words(rows, length):
+    """Per row the word places that a string of so many words covers which also starts elsewhere."""
+    words = [(t or "").encode().split() for _, t in rows]
+    starts = defaultdict(list)
+    for r, w in enumerate(words):
+        for k in range(len(w) - length + 1):
+            starts[tuple(w[k:k + length])].append((r, k))
+    gone = [set() for _ in rows]
+    for places in starts.values():
+        if len(places) > 1:
+            for r, k in places:
+                gone[r].update(range(k, k + length))
+    return words, gone
+
+
+@pytest.mark.parametrize("largest", [suffix.BLOCK, 2])
+def test_repeated_passages_of_words(spark, largest):
+    rng = random.Random(6)
+    passages = [[f"p{k}x{i}" for i in range(n)] for k, n in enumerate((49, 50, 51, 56, 62, 130))]
+    rows = []
+    for k in range(60):
+        own = [f"é{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 120))]
+        at = rng.randrange(len(own))
+        middle = passages[k % 6] if k < 40 else passages[k % 6][:49] if k < 50 else []
+        gap = rng.choice([" ", "\n", "  \t"])
+        rows.append((k, " ".join(own[:at]) + gap + gap.join(middle) + " " + " ".join(own[at:])))
+    rows += [(100, rows[0][1]), (101, "a " * 300), (102, None), (103, ""), (104, " ".join(passages[1])), (None, " ".join(passages[1]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    unit = suffix.Unit(50, words=True)
+    found = {r["doc_id"]: r for r in suffix.dedup(docs, largest=largest, unit=unit).collect()}
+    for (k, t), words, gone in zip(rows, *repeated_words(rows, 50), strict=True):
+        kept = [w for i, w in enumerate(words) if i not in gone]
+        assert bytes(found[k]["kept"]).split() == kept and (found[k]["n_removed"] > 0) == bool(gone)
+        assert gone or bytes(found[k]["kept"]) == (t or "").encode()
+
+
+@pytest.mark.parametrize("near", [80, 90])
+def test_shared_passages_are_not_all_pairs(spark, near, monkeypatch):
+    """Texts that share one passage of 170 words and differ in 30, each with one near copy: what is measured grows with the texts."""
+    measured = {}
+    counted = jaccard._distances
+
+    def count(pairs, sets, near):
+        measured[size] += pairs.count()
+        return counted(pairs, sets, near)
+
+    monkeypatch.setattr(jaccard, "_distances", count)
+    passage = " ".join(f"shared{k}" for k in range(170))
+    for size in (100, 400):
+        measured[size] = 0
+        texts = [f"{passage} " + " ".join(f"own{k // 2}x{i}" for i in range(30)) + (" changed" if k % 2 else "") for k in range(size)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.near_components(docs, near=near).collect()}
+        assert got == {k: k // 2 * 2 if near == 90 else got[k] for k in range(size)}
+    assert measured[400] <= 5 * measured[100]
+
+
+def test_clashing_columns(spark, rows):
+    names = "doc_id bigint, text string, source string, weight string, linked string, shard int, slot int, settled string, ramp_from string, ramp_to string, _source string"
+    docs = spark.createDataFrame([(r[0], r[1], r[2], "w", "l", 7, 8, "s", "f", "t", "o") for r in rows], names)
+    items = docs.select("*", F.length(F.coalesce("text", F.lit(""))).alias("size"), F.md5("text").alias("group"))
+    placed = sharding.assign(items, 4)
+    assert len(set(placed.columns)) == len(placed.columns) and placed.where("weight = 'w' and linked = 'l' and settled = 's'").count() == len(rows)
+    assert placed.groupBy("shard").agg(F.max("slot") + 1 == F.count("*")).where("not `((max(slot) + 1) = count(1))`").count() == 0
+    mixed = mixing.mix(docs)
+    assert mixed.where("ramp_from = 'f' and ramp_to = 't' and _source = 'o' and weight = 'w'").count() == len(rows)
