@@ -18,6 +18,8 @@ from leadspark.operators.staging import staging_folder
 # What the near-copy stage compares: words per shingle, and the least Jaccard similarity in per cent.
 NEAR_WORDS = 5
 NEAR_PERCENT = 80
+# Words of a passage that goes if it stands anywhere else too.
+PASSAGE_WORDS = 50
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 400 bytes that occur elsewhere too; characters that are repeated in part stay."""
-    cut = suffix.dedup(docs, characters=True)
+    """Texts without passages of 50 words that occur elsewhere too, whatever white space lies between the words."""
+    cut = suffix.dedup(docs, unit=suffix.Unit(PASSAGE_WORDS, words=True))
     text = F.col("kept").cast("string")
     return cut.withColumns({"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)}).select(*docs.columns)
 

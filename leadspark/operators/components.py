@@ -10,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadspark.operators.staging import materialize
-
-MAX_ROUNDS = 60
+from leadspark.operators.staging import materialize, release
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -47,15 +45,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     stars = materialize(edges.select("file_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                         .where("a < b").distinct())
     mark = _fingerprint(stars)
-    for _ in range(MAX_ROUNDS):
-        if mark[0] == 0:
-            break
-        stars = materialize(_small_star(_large_star(stars)))
+    while mark[0]:
+        before, stars = stars, materialize(_small_star(_large_star(stars)))
+        release(before)
         previous, mark = mark, _fingerprint(stars)
         if mark == previous:
             break
-    else:
-        raise RuntimeError("components did not converge")
     leaves = stars.select("file_id", F.col("b").alias("vertex"), F.col("a").alias("component"))
     roots = stars.select("file_id", F.col("a").alias("vertex"), F.col("a").alias("component")).distinct()
     return leaves.unionByName(roots)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +15,12 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 _FOLDER = "spark.checkpoint.dir"
-# Spark removes the shuffle files of a query when it ends.
+# Spark removes the shuffle files of a query when it ends; staged tables are what later queries read.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+# Paths staged in the innermost open scope of this thread.
+_staged: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("staged", default=None)
+
 
 def staging_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a temporary folder only where a local session names none."""
@@ -36,13 +42,57 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{staging_folder(spark)}/leadspark-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    # Set once and left so: another thread's writes rely on it too.
+    if spark.conf.get(_CLEANUP, "false") != "true":
+        spark.conf.set(_CLEANUP, "true")
+    df.write.parquet(path)
+    paths = _staged.get()
+    if paths is not None:
+        paths.append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.staged_path = path
+    return table
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file systems; one that is not there is no error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Remove staged tables that nothing reads any more; other DataFrames are left alone."""
+    for table in tables:
+        path = getattr(table, "staged_path", None)
+        if path is not None:
+            remove_folder(table.sparkSession, path)
+            paths = _staged.get()
+            if paths is not None and path in paths:
+                paths.remove(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A scope at whose end the tables staged in it are removed, but for those that the function it gives has staged.
+
+    These belong to the scope around it, if there is one. What reads tables of the scope must be staged before it ends.
+    """
+    outer, inner = _staged.get(), []
+    token = _staged.set(inner)
+
+    def keep(df: DataFrame) -> DataFrame:
+        table = materialize(df)
+        inner.remove(table.staged_path)
+        if outer is not None:
+            outer.append(table.staged_path)
+        return table
+
     try:
-        df.write.parquet(path)
+        yield keep
     finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        _staged.reset(token)
+        for path in inner:
+            remove_folder(spark, path)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
