@@ -142,11 +142,13 @@ def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("date_median", f"""{SHEETS_CTE}, {_SAMPLES}, years AS (SELECT file_id, col, CAST(year(
-    try_strptime(v, ['%m/%d/%Y', '%Y-%m-%d', '%m-%d-%Y', '%Y-%m-%d %H:%M'])) AS INTEGER) AS y FROM samples WHERE rank <= {fv.YEAR_SAMPLES} AND col IN (0, 2))
-  SELECT file_id, col, list_sort(list(y))[len(list(y)) // 2 + 1] AS median_year FROM years WHERE y IS NOT NULL GROUP BY file_id, col""")
+    try_strptime(v, ['%m/%d/%Y', '%Y-%m-%d', '%m-%d-%Y', '%Y-%m-%d %H:%M'])) AS INTEGER) AS y FROM samples WHERE rank <= {fv.YEAR_SAMPLES}),
+  dated AS (SELECT file_id, col FROM samples GROUP BY file_id, col HAVING count(*) FILTER ({_PREDICATES["date"]}) / count(*) >= 0.7)
+  SELECT file_id, col, list_sort(list(y))[len(list(y)) // 2 + 1] AS median_year FROM years JOIN dated USING (file_id, col)
+  WHERE y IS NOT NULL GROUP BY file_id, col""")
 def date_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    samples = infer.column_samples(infer.lead_rows(headerless_rows(spark, sf_dir))).where("col IN (0, 2)")
-    return infer.profile_columns(samples, F.lit(AS_OF).cast("date")).select("file_id", "col", "median_year")
+    samples = infer.column_samples(infer.lead_rows(headerless_rows(spark, sf_dir)))
+    return infer.profile_columns(samples, F.lit(AS_OF).cast("date")).where("date >= 0.7").select("file_id", "col", "median_year")
 
 
 @query("headerless_leads", f"""{SHEETS_CTE} SELECT file_id, s.src, name, dob, {sql_text('raw_street')} AS address, phone, carrier, vehicles, email
@@ -209,16 +211,36 @@ def write_folder(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
+def write_encoded_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The same files with a line in their own encoding at the end (UTF-8, Windows-1252, and Latin-1 with a byte that Windows-1252
+    lacks, by turns), and a file without any byte."""
+    folder = write_folder(spark, sf_dir)
+    turn = (F.col("f") / 100 % 3).cast("int")
+    endings = [bytearray("é€,x".encode()), bytearray("é€,x".encode("cp1252")), bytearray("é\x81,x".encode("latin-1"))]
+    last = F.get(F.array(*[F.lit(e) for e in endings]), turn)
+    files = raw_leads(spark, sf_dir).where("src % 100 = 0").select((F.col("src") - F.col("src") % 100).alias("f"))
+    whole = spark.read.option("recursiveFileLookup", "true").text(folder).select(
+        F.regexp_extract("_metadata.file_path", "f=([0-9]+)/", 1).cast("bigint").alias("f"), "value")
+    lines = whole.withColumn("at", F.lit(0)).unionByName(files.select("f", last.cast("string").alias("value"), F.lit(1).alias("at")))
+    encoded = f"{staging_folder(spark)}/encoded-leads-{uuid.uuid4().hex}"
+    lines.repartition("f").sortWithinPartitions("f", "at").select("f", "value").write.partitionBy("f").text(encoded)
+    # A table without rows is one file without bytes.
+    files.limit(0).select(F.lit("").alias("value")).coalesce(1).write.text(f"{encoded}/f=-1")
+    return encoded
+
+
 def file_number() -> Column:
-    return F.regexp_extract("file_id", "f=([0-9]+)/", 1).cast("bigint").alias("f")
+    return F.regexp_extract("file_id", "f=(-?[0-9]+)/", 1).cast("bigint").alias("f")
 
 
-@query("file_profiles", f"""{LEADS_CTE} SELECT CAST(src - src % 100 AS BIGINT) AS f, 'text' AS kind, 'utf-8' AS encoding,
-  [',', ';', '|'][CAST((src - src % 100) / 100 % 3 + 1 AS INT)] AS delimiter, FALSE AS linear FROM raw_leads WHERE src % 100 = 0""")
+@query("file_profiles", f"""{LEADS_CTE} SELECT CAST(src - src % 100 AS BIGINT) AS f, 'text' AS kind,
+  ['utf-8', 'windows-1252', 'iso-8859-1'][CAST((src - src % 100) / 100 % 3 + 1 AS INT)] AS encoding,
+  [',', ';', '|'][CAST((src - src % 100) / 100 % 3 + 1 AS INT)] AS delimiter, FALSE AS linear FROM raw_leads WHERE src % 100 = 0
+  UNION ALL SELECT -1, 'empty', 'utf-8', ',', FALSE""")
 def file_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kind, encoding and delimiter of delimited files written from all leads."""
-    folder = write_folder(spark, sf_dir)
-    found = profile_files(read_lines(spark, folder), list_files(spark, folder)).where("kind <> 'empty'")
+    """Kind, encoding and delimiter of delimited files written from all leads in three encodings, and of an empty file."""
+    folder = write_encoded_folder(spark, sf_dir)
+    found = profile_files(read_lines(spark, folder), list_files(spark, folder)).where("file_id LIKE '%/f=%'")
     return found.select(file_number(), "kind", "encoding", "delimiter", "linear")
 
 

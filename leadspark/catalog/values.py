@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadspark import fixed_values as fv
@@ -12,7 +12,9 @@ from leadspark.catalog.base import (AS_OF, LEADS_CTE, QUALITY, STD_CTE, query, r
 from leadspark.functions import values
 from leadspark.functions.similarity import similarity
 from leadspark.operators.cards import clean_insurance
+from leadspark.operators.ordering import number_rows
 from leadspark.operators.quality import email_valid
+from leadspark.operators.staging import materialize
 
 
 def _today() -> Column:
@@ -110,12 +112,14 @@ def document_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("name_similarity", STD_CTE + """, pairs AS (SELECT src, lower(name) AS a,
-    coalesce(lower(lag(name) OVER (PARTITION BY src - src % 1000 ORDER BY src)), '') AS b FROM std),
+    coalesce(lower(lag(name) OVER (ORDER BY src)), '') AS b FROM std),
 """ + sql_ratio("rated", "SELECT a, b FROM pairs WHERE a IS NOT NULL") + """
 SELECT src, ratio FROM pairs LEFT JOIN rated USING (a, b)""")
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of every name to the one before it."""
-    near = Window.partitionBy(F.col("src") - F.col("src") % 1000).orderBy("src")
-    names = raw_leads(spark, sf_dir).select("src", F.lower(values.name(F.col("raw_name"))).alias("a"))
-    pairs = names.withColumn("b", F.coalesce(F.lag("a").over(near), F.lit("")))
-    return pairs.select("src", similarity(F.col("a"), F.col("b")).alias("ratio"))
+    """Similarity of every name to the one before it: names are numbered over all rows, and each distinct pair is compared once."""
+    names = raw_leads(spark, sf_dir).select(F.lit("").alias("file_id"), "src", F.lower(values.name(F.col("raw_name"))).alias("a"))
+    numbered = materialize(number_rows(names, ["file_id"], "src", "n"))
+    before = numbered.select((F.col("n") + 1).alias("n"), F.coalesce("a", F.lit("")).alias("b"))
+    pairs = materialize(numbered.join(before, "n", "left").select("src", "a", F.coalesce("b", F.lit("")).alias("b")))
+    rated = pairs.select("a", "b").where("a IS NOT NULL").distinct().withColumn("ratio", similarity(F.col("a"), F.col("b")))
+    return pairs.join(rated, ["a", "b"], "left").select("src", "ratio")

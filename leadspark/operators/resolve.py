@@ -5,11 +5,13 @@ a map-side combined aggregation, so a placeholder phone held by a third of all r
 and never a group in one task. Similar names are found by an exact signature join (below), and the
 component search runs over entities only.
 
-Similarity join. ratio(x, y) >= t means the unmatched characters of both names number at most
-d = (1 - t)(|x| + |y|). Cut the shorter name into d + 1 segments: at least one of them has to survive
-untouched in the longer one, shifted by no more than the unmatched characters allow. Names sharing
-such a segment (same lengths, same place) are candidates; every other pair is proven to fail. Spark's
-bounded edit distance, never above d for a passing pair, prunes the candidates before the ratio is taken.
+Similarity join. ratio(x, y) >= t means that M = t (|x| + |y|) / 2 characters match at least and d = |x| + |y| - 2 M at most do not. The
+matched ones stand in the same order in both names, so an unmatched one destroys two bigrams at most: the names share
+M - 1 - d bigrams. Bigrams are put in one global order, rare ones first; of a name of n characters all but the last
+n - 1 - (M - 1 - d) - 1 can then be missed, so any two of those first bigrams that both names have are a signature by which
+they meet. A name has some thirty signatures whatever its length allows, and what meets is pruned by lengths and by a
+mask of its letters (bits in which two masks differ are unmatched characters) before Spark's bounded edit distance, never above d
+for a passing pair, and then the ratio. Where a threshold is too low for bigrams, single letters take their place.
 """
 
 from __future__ import annotations
@@ -61,52 +63,88 @@ def _budget(short: Column, long: Column, threshold: float) -> Column:
     return most - F.pmod(most - (long - short), F.lit(2))
 
 
-def _segment(i: Column, length: Column, pieces: Column) -> tuple[Column, Column]:
-    start = F.floor(i * length / pieces).cast("int")
-    return start, (F.floor((i + 1) * length / pieces).cast("int") - start)
+# Canonical names hold these characters alone.
+LETTERS = " abcdefghijklmnopqrstuvwxyz"
 
 
-def _signature(text: Column, short: Column, long: Column, i: Column) -> Column:
-    return F.xxhash64("file_id", "kind", "key", short, long, i, text)
+def _partners(n: int, threshold: float) -> list[tuple[int, int]]:
+    """(most unmatched characters, least matched ones) for every length that a different partner of a name of n characters can have."""
+    out = []
+    for other in range(int(n * threshold / (2 - threshold)), int(n * (2 - threshold) / threshold + 1e-9) + 1):
+        d = int((n + other) * (1 - threshold) + 1e-9)
+        d -= (d - (n - other)) % 2
+        if d > 0 and d >= abs(n - other):
+            out.append((d, (n + other - d) // 2))
+    return out
 
 
-def similar_candidates(entities: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of entities of one block whose names may reach the ratio: ``x_*`` and ``y_*`` columns."""
+def gram_width(threshold: float) -> int:
+    """2 if all pairs of names that reach the threshold share a bigram, else 1. Longer names share more."""
+    return 2 if all(m - 1 - d >= 1 for n in range(1, 60) for d, m in _partners(n, threshold)) else 1
+
+
+def _codes(width: int) -> Column:
+    """The grams of ``canon``, in place order, as numbers whose digits are the places of their letters in the alphabet."""
+    letters = f"transform(split(canon, ''), c -> instr('{LETTERS}', c) - 1)"
+    if width == 1:
+        return F.expr(letters)
+    return F.expr(f"transform(sequence(1, length(canon) - 1), i -> element_at({letters}, i) * {len(LETTERS)} + element_at({letters}, i + 1))")
+
+
+def _mask() -> Column:
+    """Two bits per letter: whether the name has it once, and twice. Each bit in which two names differ is an unmatched character."""
+    held = [f"least(2, length(canon) - length(replace(canon, '{c}', '')))" for c in LETTERS]
+    return F.expr(" + ".join(f"shiftleft(bigint(array(0, 1, 3)[{h}]), {2 * k})" for k, h in enumerate(held)))
+
+
+def _rarity(names: DataFrame, width: int) -> list[int]:
+    """The place of every gram in the global order, rare ones first. There are as many as the alphabet allows, 729 at most."""
+    counts = dict(map(tuple, names.select(F.explode("codes").alias("g")).groupBy("g").count().collect()))
+    ordered = sorted(range(len(LETTERS) ** width), key=lambda g: (counts.get(g, 0), g))
+    place = [0] * len(ordered)
+    for k, g in enumerate(ordered):
+        place[g] = k
+    return place
+
+
+def signatures(entities: DataFrame, threshold: float) -> DataFrame:
+    """(sig, block, file_id, vertex, canon, n, mask): names of blocks that hold several, once for each of their signatures."""
+    width = gram_width(threshold)
     several = entities.groupBy(*BLOCK).agg(F.count("*").alias("_names")).where("_names > 1").drop("_names")
-    names = entities.join(several, BLOCK).withColumn("len", F.length("canon"))
-    record = F.struct(*BLOCK, "vertex", "canon", "lo", "hi")
     stretch = (2.0 - threshold) / threshold
-    n = F.col("len")
-
-    as_short = names.select("*", F.explode(F.sequence(n, F.floor(n * stretch + 1e-9).cast("int"))).alias("long"))
-    as_short = as_short.withColumn("d", _budget(n, F.col("long"), threshold)).where("d > 0 AND d >= long - len")
-    as_short = as_short.select("*", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("i"))
-    start, size = _segment(F.col("i"), n, F.col("d") + 1)
-    index = as_short.select(
-        record.alias("x"), _signature(F.col("canon").substr(start + 1, size), n, F.col("long"), F.col("i")).alias("sig"))
-
-    as_long = names.where("len > 0").select(
-        "*", F.explode(F.sequence(F.ceil(n / stretch - 1e-9).cast("int"), n)).alias("short"))
-    as_long = as_long.withColumn("d", _budget(F.col("short"), n, threshold)).where("d > 0 AND d >= len - short")
-    as_long = as_long.select("*", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("i"))
-    gap = n - F.col("short")
-    as_long = as_long.select("*", F.explode(F.sequence(-((F.col("d") - gap) / 2).cast("int"),
-                                                       ((F.col("d") + gap) / 2).cast("int"))).alias("shift"))
-    start, size = _segment(F.col("i"), F.col("short"), F.col("d") + 1)
-    at = start + F.col("shift")
-    probe = as_long.where((at >= 0) & (at + size <= n)).select(
-        record.alias("y"), _signature(F.col("canon").substr(at + 1, size), F.col("short"), n, F.col("i")).alias("sig"))
-
-    a, b = F.col("x.canon"), F.col("y.canon")
-    most = F.floor((F.length(a) + F.length(b)) * (1.0 - threshold) + 1e-9).cast("int")
-    same_block = (F.col("x.file_id") == F.col("y.file_id")) & (F.col("x.kind") == F.col("y.kind")) \
-        & (F.col("x.key") == F.col("y.key"))
-    met = index.join(probe, "sig").where(same_block & (a != b) & (F.levenshtein(a, b) <= most))
-    swap = F.col("x.vertex") > F.col("y.vertex")
-    return met.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"),
-                      F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y")).groupBy(
-        F.col("x.file_id").alias("file_id"), F.col("x.vertex").alias("a"), F.col("y.vertex").alias("b")
-    ).agg(F.first("x").alias("x"), F.first("y").alias("y"))
+    n = F.length("canon")
+    names = materialize(entities.join(several, BLOCK).where(n > width - 1).select(
+        "file_id", F.xxhash64(*BLOCK).alias("block"), "vertex", "canon", n.alias("n"), _mask().alias("mask"), _codes(width).alias("codes")))
+    # For every length of a partner: unmatched characters d, matched ones, and so grams in common.
+    partner = F.transform(F.sequence(F.ceil(F.col("n") / stretch - 1e-9).cast("int"), F.floor(F.col("n") * stretch + 1e-9).cast("int")), lambda other: F.struct(
+        other.alias("other"), _budget(F.least(F.col("n"), other), F.greatest(F.col("n"), other), threshold).alias("d")))
+    partner = F.filter(partner, lambda p: (p["d"] > 0) & (p["d"] >= F.abs(F.col("n") - p["other"])))
+    common = F.transform(partner, lambda p: ((F.col("n") + p["other"] - p["d"]) / 2).cast("int") - (width - 1) * (1 + p["d"]))
+    place = F.lit(_rarity(names, width))
+    # The k-th of equal grams of a name is a token of its own.
+    ranked = F.expr(f"transform(codes, (g, i) -> struct(get(_place, g) AS place, size(filter(slice(codes, 1, i), h -> h = g)) AS time))")
+    tokens = names.withColumns({"_common": common, "_place": place}).where("size(_common) > 0").withColumn("_tokens", F.array_sort(ranked))
+    # Two of the first so many tokens are shared, or, where names may share one only, one of the first.
+    tokens = tokens.withColumns({
+        "_two": F.expr("slice(_tokens, 1, size(_tokens) + 2 - greatest(2, array_min(_common)))"),
+        "_one": F.expr("if(array_min(_common) < 2, slice(_tokens, 1, size(_tokens) + 1 - greatest(1, array_min(_common))), slice(_tokens, 1, 0))")})
+    pairs = F.expr("flatten(transform(_two, (x, i) -> transform(slice(_two, i + 2, size(_two)), y -> xxhash64(block, x, y))))")
+    single = F.expr("transform(_one, x -> xxhash64(block, x))")
+    return tokens.select(F.explode(F.concat(pairs, single)).alias("sig"), "block", "file_id", "vertex", "canon", "n", "mask")
+
+
+def similar_candidates(entities: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of entities of one block whose names may reach the ratio: ``x`` and ``y``, in order of their vertices."""
+    index = materialize(signatures(entities, threshold))
+    x, y = (index.select("sig", "block", "file_id", *[F.col(c).alias(f"{c}_{side}") for c in ("vertex", "canon", "n", "mask")]) for side in "xy")
+    most = F.floor((F.col("n_x") + F.col("n_y")) * (1.0 - threshold) + 1e-9).cast("int")
+    met = x.join(y, ["sig", "block", "file_id"]).where(
+        (F.col("vertex_x") < F.col("vertex_y")) & (F.abs(F.col("n_x") - F.col("n_y")) <= most)
+        & (F.bit_count(F.col("mask_x").bitwiseXOR(F.col("mask_y"))) <= most) & (F.levenshtein("canon_x", "canon_y") <= most))
+    found = met.select("file_id", F.col("vertex_x").alias("a"), F.col("vertex_y").alias("b")).distinct()
+    record = entities.select("file_id", "vertex", F.struct(*BLOCK, "vertex", "canon", "lo", "hi").alias("record"))
+    return found.join(record.select("file_id", F.col("vertex").alias("a"), F.col("record").alias("x")), ["file_id", "a"]).join(
+        record.select("file_id", F.col("vertex").alias("b"), F.col("record").alias("y")), ["file_id", "b"]).select("file_id", "a", "b", "x", "y")
 
 
 def similar_links(entities: DataFrame, threshold: float) -> DataFrame:
@@ -132,7 +170,7 @@ def duplicate_groups(leads: DataFrame, quality: dict) -> DataFrame:
     Groups are numbered per file by their first row; ``matched_on`` names the block that first matched it.
     """
     threshold = quality.get("name_fuzzy_threshold", 0.85)
-    keys = block_keys(leads, quality)
+    keys = materialize(block_keys(leads, quality))
     entities = materialize(fold_entities(keys))
     links = materialize(similar_links(entities, threshold))
 

@@ -8,7 +8,6 @@ stitched by a distributed running state instead of a one-task multi-line reader.
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,10 +43,33 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return with_places(text.select("value", "_metadata.file_path", "_metadata.file_block_start"))
 
 
+def _plain_path(path: Column) -> Column:
+    """A file's path as the text scan names it."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """Every file below ``path``, empty ones too (names only; the scan's own listing holds them anyway)."""
     names = spark.read.option("recursiveFileLookup", "true").text(path).inputFiles()
-    return spark.createDataFrame([(re.sub("^file:/+", "file:/", n),) for n in names], "file_id string")
+    return spark.createDataFrame([(n,) for n in names], "file_id string").select(_plain_path(F.col("file_id")).alias("file_id"))
+
+
+def logged_files(spark: SparkSession, checkpoint: str, batch_id: int) -> DataFrame:
+    """Every file of one micro-batch, those without any line too, from the file log that the file source keeps in the checkpoint.
+
+    A micro-batch covers the log entries between the offsets of the batch before and its own. Entries stay in a DataFrame; a compacted
+    log repeats entries.
+    """
+    def until(batch: int) -> Column:
+        if batch < 0:
+            return F.lit(-1)
+        lines = spark.read.text(f"{checkpoint}/offsets/{batch}").where("value like '{\"logOffset\"%'")
+        return F.lit(int(lines.select(F.get_json_object("value", "$.logOffset")).first()[0]))
+
+    entries = spark.read.text(f"{checkpoint}/sources/0").where("value like '{%'").select(
+        F.from_json("value", "path string, batchId bigint").alias("e")).select("e.*")
+    mine = entries.where((F.col("batchId") > until(batch_id - 1)) & (F.col("batchId") <= until(batch_id)))
+    return mine.select(_plain_path(F.col("path")).alias("file_id")).distinct()
 
 
 # ------------------------------------------------------------------------------------ quoting
@@ -134,7 +156,7 @@ def profile_files(lines: DataFrame, files: DataFrame | None = None) -> DataFrame
         F.sum("names").alias("names"), F.sum("births").alias("births"))
     kind = (F.when(F.col("magic").startswith(fv.XLSX_MAGIC), "xlsx").when(F.col("magic") == fv.XLS_MAGIC, "xls")
             .when(F.col("filled"), "text").otherwise("empty"))
-    encoding = F.when(F.col("valid"), "utf-8").when(F.col("undefined"), "iso-8859-1").otherwise("windows-1252")
+    encoding = F.when(F.coalesce("valid", F.lit(True)), "utf-8").when(F.col("undefined"), "iso-8859-1").otherwise("windows-1252")
     linear = (F.col("names") >= fv.CARD_MIN_LABELS) & (F.col("births") >= fv.CARD_MIN_LABELS)
     if files is not None:
         whole = files.join(whole, "file_id", "left")

@@ -3,9 +3,12 @@
 import csv
 import glob
 import json
+import os
 
 import pytest
+from pyspark.errors import DateTimeException
 
+from leadspark.operators.staging import staging_folder
 from leadspark.plans.job import run_job
 from leadspark.plans.organize import organize_table
 from leadspark.plans.refine import refine
@@ -103,6 +106,28 @@ def test_job_errors(spark, tmp_path):
         run_job(spark, str(tmp_path), str(tmp_path / "out"), profile="nosuch")
 
 
+def staged(spark):
+    return {f for f in os.listdir(staging_folder(spark).removeprefix("file:")) if f.startswith("leadspark-")}
+
+
+def test_jobs_leave_nothing_staged(spark, tmp_path):
+    before = staged(spark)
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a [1] é.csv").write_text(TEXT)
+    (source / "empty.csv").write_text("")
+    run_job(spark, str(source), str(tmp_path / "out"), as_of="2026-07-01")
+    assert staged(spark) == before
+    stream = watch_folder(spark, str(source), str(tmp_path / "streamed"), str(tmp_path / "state"), as_of="2026-07-01")
+    stream.awaitTermination()
+    assert stream.exception() is None and staged(spark) == before
+    for out in ("out", "streamed/batch=0"):
+        assert len(_read(f"{tmp_path}/{out}/organized/*/*.csv")) == 2
+    with pytest.raises(DateTimeException):
+        run_job(spark, str(source), str(tmp_path / "bad"), as_of="no date")
+    assert staged(spark) == before
+
+
 def test_drop_folder(spark, tmp_path):
     drop, out = tmp_path / "drop", tmp_path / "out"
     drop.mkdir()
@@ -116,5 +141,11 @@ def test_drop_folder(spark, tmp_path):
     run()
     (drop / "b.csv").write_text(TEXT.replace("JON", "DON"))
     run()
+    (drop / "empty.csv").write_text("")
+    run()
+    facts = [json.loads(line) for name in glob.glob(f"{out}/batch=2/errors/log/*/*.json") for line in open(name, encoding="utf-8")]
+    totals = [json.loads(f["item"]) for f in facts if f["section"] == "totals"]
+    assert [(t["input_rows"], t["output_rows"], t["skipped_non_lead_rows"]) for t in totals] == [(0, 0, 0)]
+    assert not glob.glob(f"{out}/batch=3")
     names = [[r["Full Name"] for r in _read(f"{out}/batch={b}/organized/*/*.csv")] for b in (0, 1)]
     assert names == [["Jon Testsmith", "John Testsmith"], ["Don Testsmith", "John Testsmith"]]
