@@ -292,6 +292,28 @@ def test_classifier_separates(spark, empty):
     assert {r["score"] for r in pu.classify(table, labels.limit(0)).collect()} == {0.5}
 
 
+def test_prior_of_the_unlabelled(spark):
+    """Labels are all but good, half of all texts are not: the prior follows the texts. Extra columns are carried along."""
+    rng = random.Random(9)
+    good = [" ".join(rng.choice(["the", "river", "runs", "slow", "and", "wide"]) for _ in range(rng.randint(30, 90))) + "." for _ in range(400)]
+    bad = [" ".join(rng.choice(["BUY", "NOW", "###", "$$$", "!!!"]) for _ in range(60)) for _ in range(400)]
+    table = spark.createDataFrame([(k, t, 1, "x", 2.0) for k, t in enumerate(good + bad)], "doc_id bigint, text string, m int, _text string, score double")
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 400, 2)] + [(400, 0)], "doc_id bigint, quality int")
+    measures = table.select("doc_id", pu.measured(pu.F.col("text")).alias("m"))
+    values = [tuple(r[0]) for r in measures.select("m").collect()]
+    mean, scale = pu.np.mean(values, axis=0), pu.np.maximum(pu.np.std(values, axis=0), 1e-9)
+    cells, rows = pu.cells(measures, mean, scale)
+    assert rows.sum() == 800 and len(rows) < 100
+    same_mean = (cells * rows[:, None]).sum(axis=0) / 800
+    clipped = pu.np.clip((pu.np.array(values) - mean) / scale, -pu.FAR, pu.FAR)
+    assert abs(same_mean - clipped.mean(axis=0)).max() < 1e-5
+    kept = pu.accepted(table, labels)
+    assert kept.columns == table.columns
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert len(ids & set(range(400))) >= 396 and len(ids - set(range(400))) <= 4
+    assert abs(pu.estimated_prior(pu.np.array([0, 0, 100]), pu.np.array([5000, 0, 5000]), 10_000) - 0.5) < 1e-9
+
+
 # ------------------------------------------------------------------------------------------------------ mixing
 
 def test_mix_meets_targets(spark, rows, docs, empty):
