@@ -1,7 +1,7 @@
 """Header mapping: which input columns feed which target column.
 
 Input is a header table ``(file_id, ordinal, header)``, one row per column of each file, so millions of
-files are mapped by the same few joins and windows as one file.
+files are mapped by the same few joins and windows as one file, which run over the different header lists only.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from leadspark import fixed_values as fv
 from leadspark.functions.similarity import closest
 from leadspark.functions.values import literal_map
+from leadspark.operators.staging import materialize
 from leadspark.profile import Profile
 
 
@@ -37,7 +38,24 @@ def name_headers(headers: DataFrame) -> DataFrame:
 
 
 def classify_headers(headers: DataFrame, profile: Profile, fuzzy: bool = True) -> DataFrame:
-    """Add ``key``, ``status`` (dropped | mapped | unmapped | composed), ``target`` and ``part``."""
+    """Add ``key``, ``status`` (dropped | mapped | unmapped | composed), ``target`` and ``part``.
+
+    Files of one export share their header list: lists are worked out once each, under their signature, and handed to all their files.
+    """
+    listed = headers.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "header"))).alias("list"))
+    signed = materialize(listed.withColumn("signature", F.sha2(F.to_json("list"), 256)))
+    found = classify_lists(distinct_lists(signed), profile, fuzzy).withColumnRenamed("file_id", "signature")
+    return signed.select("file_id", "signature").join(found, "signature").drop("signature")
+
+
+def distinct_lists(signed: DataFrame) -> DataFrame:
+    """``(file_id, ordinal, header)`` of each different header list, its signature in the place of a file."""
+    lists = signed.groupBy("signature").agg(F.first("list").alias("list"))
+    return lists.select(F.col("signature").alias("file_id"), F.inline("list"))
+
+
+def classify_lists(headers: DataFrame, profile: Profile, fuzzy: bool = True) -> DataFrame:
+    """``classify_headers`` of header lists that are worked out one by one."""
     keyed = headers.withColumn("key", header_key(F.col("header")))
     exact = exact_target(F.col("key"), profile)
     drop = is_drop_name(F.col("key"), profile)

@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadspark.operators.components import connected_components
+from leadspark.operators.mapping import classify_headers, classify_lists, distinct_lists
 from leadspark.operators.ordering import number_rows, running
 from leadspark.operators.resolve import block_keys, duplicate_groups, fold_entities, similar_links
 from leadspark.operators.rows import mark_duplicates, number_leads
 from leadspark.operators.staging import materialize
-from leadspark.profile import load_quality
+from leadspark.profile import load_profile, load_quality
 
 
 def test_running_totals_over_chunks(spark):
@@ -165,3 +166,22 @@ def test_numbering_keeps_null_keys_and_positions(spark):
     assert got == {(None, None): 1, (None, 5): 2, ("f", -3): 1, ("f", 7): 2, ("f", 1 << 60): 3}
     got = {(r["file_id"], r["src"]): r["n"] for r in number_sorted(df, ["file_id"], [F.col("v")], "src", "n").collect()}
     assert got == {(None, None): 1, (None, 5): 2, ("f", 7): 1, ("f", 1 << 60): 2, ("f", -3): 3}
+
+
+def test_header_lists_are_worked_out_once(spark, monkeypatch):
+    lists = [["NAME", "Phone", "Zip", "Name"], ["First Name", "Last Name", "Telephone"], ["Blah", None, "Phone"]]
+    data = [(f"f{k}", i, h) for k in range(1000) for i, h in enumerate(lists[k % 3])]
+    headers = spark.createDataFrame(data, "file_id string, ordinal int, header string").repartition(5)
+    profile = load_profile("default")
+    seen = []
+
+    def counted(table):
+        seen.append(distinct_lists(table).select("file_id").distinct().count())
+        return distinct_lists(table)
+
+    monkeypatch.setattr("leadspark.operators.mapping.distinct_lists", counted)
+    got = classify_headers(headers, profile)
+    want = classify_lists(headers, profile)
+    assert seen == [3] and got.columns == want.columns
+    rows = [sorted(map(repr, map(tuple, df.collect()))) for df in (got, want)]
+    assert rows[0] == rows[1] and len(rows[0]) == len(data)

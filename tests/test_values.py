@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leadspark import fixed_values as fv
 from leadspark.functions import values
-from leadspark.functions.similarity import closest, closest_with_confidence, similarity
+from leadspark.functions.similarity import closest, closest_with_confidence, hopeful, similarity
 
 CASES = {
     "name": [("MARTA TESTBERG", "Marta Testberg"), ("li wei testsu", "Li Wei Testsu"), ("Roy McTest", "Roy McTest"),
@@ -104,3 +104,19 @@ def test_date_notations_of_the_reference(spark):
         rows = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(cases)], "i int, v string")
         got = rows.select("i", values.standardize(F.col("v"), kind, F.lit("2026-07-01").cast("date")).alias("o")).orderBy("i")
         assert [(cases[r["i"]][0], r["o"]) for r in got.collect()] == cases
+
+
+def test_hopeless_words_are_told_before_python(spark):
+    """Exactly the words that length and letters rule out are NULL, and the closest entry stays that of the plain search."""
+    rng = random.Random(5)
+    words = ["owner", "home owner", "rented", "o'neil \"q\"", "aab"]
+    texts = [None, "", "zzzz", "ownr", "rentd", "homeowner", "x" * 300, "é", "q\"o'neil", "baa", " "]
+    texts += ["".join(rng.choice("ownerhtda b'") for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, v string")
+    for cutoff in (0.6, 0.86):
+        got = rows.select("v", hopeful(F.col("v"), words, cutoff).alias("h"), closest(F.col("v"), words, cutoff).alias("c")).collect()
+        for r in got:
+            held = [min(sum(c in w for c in r.v or ""), sum(c in (r.v or "") for c in w)) for w in words]
+            near = r.v is not None and any(2.0 * h / (len(w) + len(r.v)) >= cutoff for h, w in zip(held, words))
+            assert r.h == (r.v if near else None), r
+            assert r.c == (next(iter(difflib.get_close_matches(r.v, words, 1, cutoff)), None) if r.v is not None else None), r
