@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from leadspark.operators import components
 from leadspark.operators.components import connected_components
 from leadspark.operators.mapping import classify_headers, classify_lists, distinct_lists
 from leadspark.operators.ordering import number_rows, running
@@ -185,3 +186,51 @@ def test_header_lists_are_worked_out_once(spark, monkeypatch):
     assert seen == [3] and got.columns == want.columns
     rows = [sorted(map(repr, map(tuple, df.collect()))) for df in (got, want)]
     assert rows[0] == rows[1] and len(rows[0]) == len(data)
+
+
+def _path(spark, n):
+    """The edges of a path of n vertices, in no order."""
+    edges = spark.range(n - 1).select(F.lit("f").alias("file_id"), F.xxhash64("id").alias("_o"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    return edges.orderBy("_o").drop("_o")
+
+
+def _counting_tables(monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df: written.append(1) or materialize(df))
+    return written
+
+
+def test_long_path_that_fits_a_task_is_one_table(spark, monkeypatch):
+    written = _counting_tables(monkeypatch)
+    n = 100_000
+    found = connected_components(_path(spark, n))
+    assert found.agg(F.count("*"), F.max("component"), F.countDistinct("vertex")).first() == (n, 0, n)
+    assert len(written) == 1
+
+
+def test_contraction_saves_rounds_over_many_tasks(spark, monkeypatch):
+    """The same path over tasks of few edges, with contraction and by star rounds alone."""
+    n, setting = 1_000, "spark.sql.adaptive.coalescePartitions.enabled"
+    monkeypatch.setattr(components, "SLICE", 200)
+    spark.conf.set(setting, "false")
+    try:
+        rounds = []
+        for contract in (components.contracted, lambda edges: edges):
+            monkeypatch.setattr(components, "contracted", contract)
+            with monkeypatch.context() as counted:
+                written = _counting_tables(counted)
+                assert connected_components(_path(spark, n)).agg(F.max("component")).first()[0] == 0
+            rounds.append(len(written))
+    finally:
+        spark.conf.unset(setting)
+    assert rounds[0] < rounds[1]
+
+
+def test_components_by_file_of_texts_in_small_slices(spark, monkeypatch):
+    """Vertices that are texts, files that share them, loops, null ends and repeated edges; slices of few edges."""
+    monkeypatch.setattr(components, "SLICE", 3)
+    edges = [("f", "b", "a"), ("f", "b", "c"), ("g", "c", "d"), ("g", "c", "d"), ("g", "z", "z"), ("f", None, "a"), ("f", "é", "c"), ("g", "y", "x")]
+    df = spark.createDataFrame(edges, "file_id string, a string, b string")
+    got = {(r.file_id, r.vertex): r.component for r in connected_components(df).collect()}
+    assert got == {**{("f", v): "a" for v in "abcé"}, ("g", "c"): "c", ("g", "d"): "c", ("g", "x"): "x", ("g", "y"): "x"}
+    assert connected_components(df.limit(0)).count() == 0
