@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.catalog.base import AS_OF, LEADS_CTE, PROFILE, SHORT, STD_CTE, TARGETS, query, raw_leads, sql_text
+from leadspark import fixed_values as fv
+from leadspark.catalog.base import AS_OF, LEADS_CTE, PROFILE, SHORT, STD_CTE, TARGETS, query, raw_leads, sql_list, sql_text
 from leadspark.catalog.layouts import file_number, write_folder
 from leadspark.functions import values
 from leadspark.operators.rows import col
 from leadspark.operators.staging import staging_folder
+from leadspark.plans.files import organize_files
 from leadspark.plans.job import run_job
 from leadspark.sources.intake import list_files, profile_files, read_lines
 from leadspark.streaming.dropfolder import watch_folder
@@ -63,6 +65,56 @@ def job_log_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.where("section IN ('totals', 'scores')").groupBy(file_number(), "section").agg(F.count("*").alias("items"))
 
 
+_FOLDED = f"""{STD_CTE}, refiled AS (SELECT * EXCLUDE (file_id), CAST(src - src % 100 AS BIGINT) AS f FROM std
+    WHERE coalesce({", ".join(TARGETS)}) IS NOT NULL),
+  checked AS (SELECT *, coalesce(phone IS NOT NULL AND name IS NOT NULL AND src > min(src) OVER (
+    PARTITION BY f, lower(phone), lower(name)), FALSE) AS dup FROM refiled),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY src) AS row FROM checked WHERE NOT dup)"""
+
+
+@query("job_log_items", f"""{_FOLDED} SELECT f, 'removed_duplicates' AS section,
+    CAST(json_object('Full Name', name, 'Phone Number', phone) AS VARCHAR) AS item FROM checked WHERE dup
+  UNION ALL SELECT f, 'invalid_phone_rows', CAST(json_object('index', row - 1) AS VARCHAR) FROM placed WHERE length(phone) <> 14""")
+def job_log_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of two sections of a job's quality log, as written."""
+    out = _out(spark)
+    run_job(spark, write_folder(spark, sf_dir), out, as_of=AS_OF)
+    log = spark.read.schema("file_id string, section string, position bigint, part bigint, item string").json(f"{out}/errors/log")
+    return log.where("section IN ('removed_duplicates', 'invalid_phone_rows')").select(file_number(), "section", "item")
+
+
+# A cell of the written files as the intake gives it: vehicles with line breaks, words for nothing left out.
+_CELL = {t: f"r_{t}" for t in TARGETS} | {"vehicles": "replace(r_vehicles, ' / ', chr(10) || '/ ')"}
+_CHANGES = " UNION ALL ".join(f"""SELECT f, row, '{name}' AS field, {_CELL[t]} AS original, coalesce({t}, 'NA') AS new
+  FROM placed WHERE {_CELL[t]} <> coalesce({t}, 'NA') AND {_CELL[t]} <> '' AND {_CELL[t]} NOT IN ({sql_list(fv.READ_NULL_TOKENS)})""" for name, t in SHORT.items() if t in TARGETS)
+
+
+@query("job_changes", f"{_FOLDED} {_CHANGES}")
+def job_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change reports that a batch job writes, read back."""
+    out = _out(spark)
+    run_job(spark, write_folder(spark, sf_dir), out, as_of=AS_OF)
+    written = (spark.read.option("header", "true").option("escape", '"').option("multiLine", "true").option("recursiveFileLookup", "true")
+               .schema("row bigint, field string, original string, new string, reason string").csv(f"{out}/changes")
+               .withColumn("file_id", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("%25"), F.lit("%")))))
+    return written.select(file_number(), "row", "field", "original", "new")
+
+
+@query("ragged_rows", f"""{LEADS_CTE} SELECT CAST(src - src % 100 AS BIGINT) AS f, count(*) AS input_rows,
+  count(*) FILTER (src % 4 > 1) AS ragged_rows FROM raw_leads GROUP BY 1""")
+def ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose rows hold up to three cells more than their header: rows are kept and counted."""
+    f = (F.col("src") - F.col("src") % 100).alias("f")
+    leads = raw_leads(spark, sf_dir)
+    body = leads.select(f, (F.col("src") + 1).alias("at"), F.concat(F.lit("Lead "), F.col("src"), F.lit(",4045550100,a"),
+                                                                   F.expr("repeat(',b', int(src % 4) - 1)")).alias("value"))
+    head = leads.where("src % 100 = 0").select(f, F.col("src").alias("at"), F.lit("Name,Phone,Note").alias("value"))
+    folder = f"{staging_folder(spark)}/ragged-{uuid.uuid4().hex}"
+    (body.unionByName(head).repartition("f").sortWithinPartitions("f", "at").select("f", "value").write.partitionBy("f").text(folder))
+    done, _ = organize_files(spark, folder, PROFILE, AS_OF)
+    return done.summary.where("file_id LIKE '%/f=%'").select(file_number(), "input_rows", "ragged_rows")
+
+
 @query("file_kinds", f"""{LEADS_CTE} SELECT DISTINCT CAST(src - src % 50 AS BIGINT) AS f,
   ['text', 'xlsx', 'empty', 'text'][CAST((src - src % 50) / 50 % 4 + 1 AS INT)] AS kind FROM raw_leads""")
 def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:

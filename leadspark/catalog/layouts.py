@@ -383,3 +383,26 @@ def labeled_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read_labeled(labeled_rows(spark, sf_dir))
     return short(found, "Full Name", "Date of Birth", "Phone Number", "Email", "Address", "ZIP Code", "Autos", "Current Insurance",
                  "Cars Make and Model").withColumnRenamed("carrier", "mention")
+
+
+# ------------------------------------------------------------------------------------ all layouts together
+
+_MIN = fv.CARD_MIN_LABELS
+
+
+@query("layout_route_all", f"""{SHEETS_CTE} SELECT DISTINCT 'headed ' || file_id AS file_id, CAST(0 AS BIGINT) AS contact_cells, CAST(0 AS BIGINT) AS first_name_cells, 'header' AS layout FROM sheet
+  UNION ALL SELECT DISTINCT 'plain ' || file_id, 0, 0, 'inferred' FROM headerless
+  UNION ALL SELECT 'grid ' || CAST(src - src % 99 AS VARCHAR), 0, 0, CASE WHEN count(raw_name) >= {_MIN} AND count(raw_dob) >= {_MIN} THEN 'grid' ELSE 'inferred' END FROM raw_leads GROUP BY 1
+  UNION ALL SELECT 'form ' || CAST(src - src % 100 AS VARCHAR), count(*), 2 * count(*), CASE WHEN 2 * count(*) >= {_MIN} THEN 'labeled' ELSE 'inferred' END FROM raw_leads GROUP BY 1""")
+def layout_route_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The router over sheets of four kinds in one table: headed, header-less, card grids, labeled columns."""
+    kinds = {"headed": filled_rows(spark, sf_dir), "plain": headerless_rows(spark, sf_dir), "grid": grid_rows(spark, sf_dir),
+             "form": labeled_rows(spark, sf_dir)}
+    rows = None
+    for kind, sheets in kinds.items():
+        named = sheets.select(F.concat(F.lit(f"{kind} "), "file_id").alias("file_id"), "src", "cells")
+        rows = named if rows is None else rows.unionByName(named)
+    rows = materialize(rows)
+    counts = count_layouts(rows)
+    routed = route(counts, locate_header(rows, PROFILE))
+    return routed.join(counts, "file_id").select("file_id", "contact_cells", "first_name_cells", "layout")

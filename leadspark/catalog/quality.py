@@ -12,6 +12,7 @@ from leadspark.operators import quality as rules
 from leadspark.operators import resolve
 from leadspark.operators.components import connected_components
 from leadspark.operators.staging import materialize
+from leadspark.profile import load_profile
 
 _R, _SCORING = QUALITY["rules"], QUALITY["scoring"]
 _LOW, _HIGH = _R["dob_implausible"]["min_age"], _R["dob_implausible"]["max_age"]
@@ -109,6 +110,23 @@ def vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refined(spark, sf_dir).verticals
 
 
+_SIGNS = ["Carrier", "Premium", "MLS", "Bedrooms", "Company", "Product"]
+
+
+@query("verticals", """WITH held AS (SELECT o_orderpriority AS file_id, bool_or(substr(o_orderpriority, 1, 1) IN ('1', '5')) AS a,
+    bool_or(substr(o_orderpriority, 1, 1) IN ('2', '5')) AS b, bool_or(substr(o_orderpriority, 1, 1) = '3') AS c FROM orders GROUP BY 1)
+  SELECT file_id, CASE WHEN a THEN 'insurance' WHEN b THEN 'real_estate' WHEN c THEN 'general_sales' ELSE 'general' END AS vertical FROM held""")
+def verticals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Industries of files by the columns they fill, one file per order priority: each alone, two at once, and one column only."""
+    filled = {"Carrier": "15", "Premium": "15", "MLS": "25", "Bedrooms": "25", "Company": "34", "Product": "3"}
+    kind = F.substring("o_orderpriority", 1, 1)
+    leads = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("file_id"), *[
+        F.when(kind.isin(*filled[c]), F.col("o_orderkey").cast("string")).alias(c) for c in _SIGNS])
+    unmapped = leads.select("file_id").distinct().withColumn("unmapped_headers", F.array().cast("array<string>"))
+    profile = load_profile({"columns": [{"name": c, "type": "text"} for c in _SIGNS], "dedupe_on": []})
+    return rules.vertical(leads, unmapped, profile, QUALITY)
+
+
 # ------------------------------------------------------------------------------------ duplicates
 
 @query("block_keys", f"{JUDGED_CTE} SELECT * FROM blocks")

@@ -272,3 +272,14 @@ def unrecognized(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return organize_table(texts, profile, AS_OF, order_col="doc_id", file_col="lang").summary.select(
         "file_id", "input_rows", "output_rows", "unrecognized")
+
+
+@query("recognized", """SELECT CAST(c_nationkey AS VARCHAR) AS file_id, count(*) AS input_rows,
+  count(*) FILTER (c_nationkey % 2 = 1) AS output_rows, c_nationkey % 2 = 0 AS unrecognized FROM customer GROUP BY c_nationkey""")
+def recognized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one table with and without anything recognized: every other nation's phones are blank."""
+    profile = {"columns": [{"name": "Phone Number", "type": "phone"}], "dedupe_on": []}
+    phone = F.when(F.col("c_nationkey") % 2 == 1, F.concat(F.lit("404555"), F.lpad(F.col("c_custkey") % 10000, 4, "0"))).otherwise(" ")
+    calls = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("nation"), phone.alias("Phone Number"))
+    return organize_table(calls, profile, AS_OF, order_col="c_custkey", file_col="nation").summary.select(
+        "file_id", "input_rows", "output_rows", "unrecognized")
