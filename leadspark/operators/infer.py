@@ -9,6 +9,7 @@ from leadspark import fixed_values as fv
 from leadspark.functions import dates, values
 from leadspark.functions.similarity import closest
 from leadspark.operators.layout import long_cells
+from leadspark.operators.staging import spread
 
 # The targets that columns can claim, by the names of the default profile.
 ROLES = ("Phone Number", "Email", "ZIP Code", "Date of Birth", "Timestamp", "Autos", "Current Insurance", "Homeowner",
@@ -115,7 +116,7 @@ def claim_roles(profile: DataFrame) -> DataFrame:
         give("Address", place, ", ")
         return pd.DataFrame(plan, columns=columns)
 
-    return profile.groupBy("file_id").applyInPandas(assign, PLAN_SCHEMA)
+    return spread(profile, "file_id").groupBy("file_id").applyInPandas(assign, PLAN_SCHEMA)
 
 
 def join_parts(cells: Column, ordinals: Column, separator: Column) -> Column:

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A broadcast table is held by every executor; above this many rows joins shuffle instead.
@@ -54,6 +54,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return table
 
 
+def spread(df: DataFrame, *keys: Column | str) -> DataFrame:
+    """Deal rows that carry much work each out by ``keys`` over twice the cores, however few bytes they have.
+
+    Without a number of its own adaptive execution merges small partitions, and a few tasks would do the work.
+    """
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file systems; one that is not there is no error."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
