@@ -299,7 +299,9 @@ def grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("src")
     place = {"file_id": (F.floor(n / 99) * 99).cast("string"), "block": F.floor(n % 99 / 3), "col": (n % 3).cast("int")}
     cells = card_lines(spark, sf_dir).withColumns(place)
-    rows = cells.groupBy("file_id", (F.col("block") * 20 + F.col("i") + 1).cast("bigint").alias("src")).agg(
+    # Dealt out before they are grouped: the greatest of texts is found by sorting, and a task's leads hold many lines.
+    placed = cells.withColumn("src", (F.col("block") * 20 + F.col("i") + 1).cast("bigint")).repartition("file_id", "src")
+    rows = placed.groupBy("file_id", "src").agg(
         *[F.max(F.when(F.col("col") == c, F.col("text"))).alias(f"c{c}") for c in range(3)])
     body = rows.select("file_id", "src", F.array("c0", "c1", "c2").alias("cells"))
     starts = cells.where("block > 0").select("file_id", (F.col("block") * 20).cast("bigint").alias("src")).distinct()
@@ -365,7 +367,8 @@ def labeled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = lines_of(spark, sf_dir, _TOKENS).select(
         (F.floor(n / 100) * 100).cast("string").alias("file_id"), (F.floor(n / 4) * 40 + F.col("i")).cast("bigint").alias("place"),
         (n % 4).cast("int").alias("col"), "text")
-    return tokens.groupBy("file_id", F.col("place").alias("src")).agg(
+    # Dealt out before they are grouped, as in grid_rows.
+    return tokens.withColumnRenamed("place", "src").repartition("file_id", "src").groupBy("file_id", "src").agg(
         *[F.max(F.when(F.col("col") == c, F.col("text"))).alias(f"c{c}") for c in range(4)]).select(
         "file_id", "src", F.array(*[F.col(f"c{c}") for c in range(4)]).alias("cells")).transform(materialize)
 

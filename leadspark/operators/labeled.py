@@ -111,8 +111,9 @@ def labeled_leads(rows: DataFrame) -> DataFrame:
     tokens = materialize(segments(rows))
     following = tokens.select(*PLACE, (F.col("n") - 1).alias("n"), F.col("text").alias("next"),
                               F.col("field").isNotNull().alias("next_is_label"))
+    # Never broadcast: the followers are as many as the tokens, however small their file is.
     labels = materialize(tokens.where(F.col("field").isNotNull() | F.col("low").isin(VEHICLE_LABELS))
-                         .join(following, [*PLACE, "n"], "left"))
+                         .join(following.hint("merge"), [*PLACE, "n"], "left"))
     ends = tokens.where(F.col("low") == fv.LABELED_BOUNDARY).groupBy(*PLACE).agg(F.min("n").alias("end"))
     mentions = tokens.select(*PLACE, "n", carrier_mention(F.col("text")).alias("mention")).where("mention IS NOT NULL")
     carriers = mentions.join(ends, PLACE).where("n >= end").groupBy(*PLACE).agg(F.min_by("mention", "n").alias("carrier"))
