@@ -12,9 +12,10 @@ from leadspark.sources.intake import Intake, logged_files, with_places
 
 
 def watch_folder(spark: SparkSession, folder: str, out_dir: str, checkpoint: str, profile: str | dict = "default",
-                 as_of: str = "now", settings: str | dict | None = None, max_files: int = 1000,
+                 as_of: str = "now", settings: str | dict | None = None, max_files: int = 100_000,
                  trigger: dict | None = None) -> StreamingQuery:
     """Start the stream. A micro-batch holds at most ``max_files`` new files, whole, and knows of the empty ones by the stream's file log.
+    A batch is a whole distributed job of some two hundred stages, so it should hold many files: a thousand leave the cluster waiting.
     Every operator keeps files apart by ``file_id``, so no state crosses batches. Results go to one folder per batch, which a
     retried batch overwrites; what a batch staged is removed at its end.
     """
