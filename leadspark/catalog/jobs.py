@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadspark import fixed_values as fv
 from leadspark.catalog.base import AS_OF, LEADS_CTE, PROFILE, SHORT, STD_CTE, TARGETS, query, raw_leads, sql_list, sql_text
-from leadspark.catalog.layouts import file_number, write_folder
+from leadspark.catalog.layouts import file_number, write_folder, write_lines
 from leadspark.functions import values
 from leadspark.operators.rows import col
 from leadspark.operators.staging import staging_folder
@@ -109,9 +109,7 @@ def ragged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = leads.select(f, (F.col("src") + 1).alias("at"), F.concat(F.lit("Lead "), F.col("src"), F.lit(",4045550100,a"),
                                                                    F.expr("repeat(',b', int(src % 4) - 1)")).alias("value"))
     head = leads.where("src % 100 = 0").select(f, F.col("src").alias("at"), F.lit("Name,Phone,Note").alias("value"))
-    folder = f"{staging_folder(spark)}/ragged-{uuid.uuid4().hex}"
-    (body.unionByName(head).repartition("f").sortWithinPartitions("f", "at").select("f", "value").write.partitionBy("f").text(folder))
-    done, _ = organize_files(spark, folder, PROFILE, AS_OF)
+    done, _ = organize_files(spark, write_lines(spark, body.unionByName(head), "ragged"), PROFILE, AS_OF)
     return done.summary.where("file_id LIKE '%/f=%'").select(file_number(), "input_rows", "ragged_rows")
 
 

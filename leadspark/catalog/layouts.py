@@ -21,11 +21,12 @@ from leadspark.operators.labeled import labeled_leads as read_labeled
 from leadspark.operators.layout import (banner_blocks as mark_blocks, grid_cells, layout_counts as count_layouts,
                                         linear_cells, locate_header, route)
 from leadspark.operators.rows import col
-from leadspark.operators.staging import materialize, staging_folder
+from leadspark.operators.staging import materialize, spread, staging_folder
 from leadspark.plans.files import header_plan, header_table, organize_files, project_rows
 from leadspark.plans.organize import Organized, as_stamp
-from leadspark.sources.intake import (INNER_BREAKS, cell_rows, has_cells, label_count, list_files, profile_files,
+from leadspark.sources.intake import (INNER_BREAKS, cell_rows, files_of, has_cells, label_count, profile_files,
                                       read_lines)
+from leadspark.sources.sinks import folder_per_file
 
 # ------------------------------------------------------------------------------------ headed and header-less sheets
 
@@ -190,9 +191,9 @@ _DELIMITED = ["raw_timestamp", "raw_name", "raw_dob", "raw_street", "raw_city",
               "raw_autos", "raw_carrier", "quoted_vehicles", "raw_email"]
 
 
-def write_folder(spark: SparkSession, sf_dir: str) -> str:
-    """Write all leads as delimited files of a hundred (three delimiters, quoted cells with line breaks, junk above
-    the header) below the staging folder; returns their folder."""
+def folder_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(f, at, value)``: all leads as lines of delimited files of a hundred (three delimiters, quoted cells with line breaks, junk
+    above the header)."""
     place = F.col("src") - F.col("src") % 100
     leads = raw_leads(spark, sf_dir).withColumn("f", place).withColumn(
         "quoted_vehicles", F.concat(F.lit('"'), F.replace("raw_vehicles", F.lit(" / "), F.lit("\n/ ")), F.lit('"')))
@@ -205,25 +206,30 @@ def write_folder(spark: SparkSession, sf_dir: str) -> str:
     body = leads.select("f", (F.col("src") * 2 + 1).alias("at"), joined([F.col(c) for c in _DELIMITED]).alias("value"))
     head = leads.where("src % 100 = 0").select(
         "f", (F.col("src") * 2).alias("at"), F.concat(F.lit("LEADS EXPORT\n\n"), joined([F.lit(h) for h in HEADER])).alias("value"))
-    folder = f"{staging_folder(spark)}/folder-leads-{uuid.uuid4().hex}"
-    (body.unionByName(head).repartition("f").sortWithinPartitions("f", "at").select("f", "value")
-     .write.partitionBy("f").text(folder))
+    return body.unionByName(head)
+
+
+def write_lines(spark: SparkSession, lines: DataFrame, name: str) -> str:
+    """Write lines ``(f, at, value)`` as one text file per ``f`` below the staging folder; returns their folder."""
+    folder = f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder_per_file(spread(lines, "f").sortWithinPartitions("f", "at").select("f", "value"), "f").text(folder)
     return folder
 
 
+def write_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Write the files of ``folder_lines``; returns their folder."""
+    return write_lines(spark, folder_lines(spark, sf_dir), "folder-leads")
+
+
 def write_encoded_folder(spark: SparkSession, sf_dir: str) -> str:
     """The same files with a line in their own encoding at the end (UTF-8, Windows-1252, and Latin-1 with a byte that Windows-1252
     lacks, by turns), and a file without any byte."""
-    folder = write_folder(spark, sf_dir)
     turn = (F.col("f") / 100 % 3).cast("int")
     endings = [bytearray("é€,x".encode()), bytearray("é€,x".encode("cp1252")), bytearray("é\x81,x".encode("latin-1"))]
     last = F.get(F.array(*[F.lit(e) for e in endings]), turn)
     files = raw_leads(spark, sf_dir).where("src % 100 = 0").select((F.col("src") - F.col("src") % 100).alias("f"))
-    whole = spark.read.option("recursiveFileLookup", "true").text(folder).select(
-        F.regexp_extract("_metadata.file_path", "f=([0-9]+)/", 1).cast("bigint").alias("f"), "value")
-    lines = whole.withColumn("at", F.lit(0)).unionByName(files.select("f", last.cast("string").alias("value"), F.lit(1).alias("at")))
-    encoded = f"{staging_folder(spark)}/encoded-leads-{uuid.uuid4().hex}"
-    lines.repartition("f").sortWithinPartitions("f", "at").select("f", "value").write.partitionBy("f").text(encoded)
+    ends = files.select("f", ((F.col("f") + 100) * 2).alias("at"), last.cast("string").alias("value"))
+    encoded = write_lines(spark, folder_lines(spark, sf_dir).unionByName(ends), "encoded-leads")
     # A table without rows is one file without bytes.
     files.limit(0).select(F.lit("").alias("value")).coalesce(1).write.text(f"{encoded}/f=-1")
     return encoded
@@ -239,8 +245,8 @@ def file_number() -> Column:
   UNION ALL SELECT -1, 'empty', 'utf-8', ',', FALSE""")
 def file_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind, encoding and delimiter of delimited files written from all leads in three encodings, and of an empty file."""
-    folder = write_encoded_folder(spark, sf_dir)
-    found = profile_files(read_lines(spark, folder), list_files(spark, folder)).where("file_id LIKE '%/f=%'")
+    lines = read_lines(spark, write_encoded_folder(spark, sf_dir))
+    found = profile_files(lines, files_of(lines)).where("file_id LIKE '%/f=%'")
     return found.select(file_number(), "kind", "encoding", "delimiter", "linear")
 
 

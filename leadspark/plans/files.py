@@ -14,7 +14,7 @@ from leadspark.operators.rows import col
 from leadspark.operators.staging import materialize, small_side
 from leadspark.plans.organize import Organized, as_date, as_stamp
 from leadspark.profile import Profile, load_profile, normalize_header
-from leadspark.sources.intake import INNER_BREAKS, Intake, list_files, ragged_rows, read_lines
+from leadspark.sources.intake import INNER_BREAKS, Intake, files_of, ragged_rows, read_lines
 
 FACTS = "file_id string, skipped bigint"
 
@@ -77,7 +77,8 @@ def project_cards(leads: DataFrame, profile: Profile, stamp: Column) -> DataFram
 def organize_files(spark: SparkSession, path: str, profile: str | dict | Profile = "default",
                    as_of: str = "now", layout: str | None = None) -> tuple[Organized, Intake]:
     """Organize every file below ``path``. ``layout`` forces one layout on all non-linear files."""
-    return organize_lines(Intake(read_lines(spark, path), list_files(spark, path)), profile, as_of, layout)
+    lines = read_lines(spark, path)
+    return organize_lines(Intake(lines, files_of(lines)), profile, as_of, layout)
 
 
 def organize_lines(intake: Intake, profile: str | dict | Profile = "default", as_of: str = "now",

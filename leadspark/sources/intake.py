@@ -48,10 +48,15 @@ def _plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
+def files_of(lines: DataFrame) -> DataFrame:
+    """Every file that ``lines`` scans, empty ones too (names only; taken from the scan's own listing)."""
+    names = [(n,) for n in lines.inputFiles()]
+    return lines.sparkSession.createDataFrame(names, "file_id string").select(_plain_path(F.col("file_id")).alias("file_id"))
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Every file below ``path``, empty ones too (names only; the scan's own listing holds them anyway)."""
-    names = spark.read.option("recursiveFileLookup", "true").text(path).inputFiles()
-    return spark.createDataFrame([(n,) for n in names], "file_id string").select(_plain_path(F.col("file_id")).alias("file_id"))
+    """Every file below ``path``, empty ones too."""
+    return files_of(read_lines(spark, path))
 
 
 def logged_files(spark: SparkSession, checkpoint: str, batch_id: int) -> DataFrame:
@@ -229,6 +234,8 @@ class Intake:
     """Files given by their lines: their profile, decoded lines of card files, and cell rows of the others."""
 
     def __init__(self, lines: DataFrame, files: DataFrame | None = None) -> None:
+        # Written once: profile and records read it, and opening many small files costs more than their lines.
+        lines = materialize(lines)
         self.profile = small_side(profile_files(lines, files))
         texts = decode_lines(lines, self.profile)
         self.linear_lines = texts.where("linear").select("file_id", "src", "text")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from leadspark import fixed_values as fv
 from leadspark.operators.rows import col
+from leadspark.operators.staging import materialize
 from leadspark.plans.refine import Refined
 
 CHANGE_COLUMNS = ["row", "field", "original", "new", "reason"]
@@ -17,8 +18,14 @@ def in_order(df: DataFrame, *order: str) -> DataFrame:
     return df.repartitionByRange("file_id", *order).sortWithinPartitions("file_id", *order)
 
 
+def folder_per_file(df: DataFrame, by: str = "file_id") -> DataFrameWriter:
+    """A writer of one folder per value of ``by``. Tasks put their files in place as they end; the default commit leaves all
+    folders to the driver, one after the other. A task that runs again writes the same names."""
+    return df.write.partitionBy(by).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    (df.write.mode("overwrite").partitionBy("file_id").option("header", "true").option("escape", '"')
+    (folder_per_file(df).mode("overwrite").option("header", "true").option("escape", '"')
      .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
 
 
@@ -81,4 +88,6 @@ def write_quality_log(refined: Refined, path: str) -> None:
     for name, table in sections(refined).items():
         table.write.mode("overwrite").json(f"{path}/{name}")
     refined.totals.write.mode("overwrite").json(f"{path}/totals")
-    in_order(error_log(refined), "section", "position", "part").write.mode("overwrite").partitionBy("file_id").json(f"{path}/log")
+    # Written first: finding the ranges would work the whole log out once more.
+    log = in_order(materialize(error_log(refined)), "section", "position", "part")
+    folder_per_file(log).mode("overwrite").json(f"{path}/log")
