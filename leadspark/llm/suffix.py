@@ -11,8 +11,9 @@ which suffixes agree over that length it is not needed to sort them all at once:
   sorted at a time, by hashes of the strings from each start, which a short context around the sample
   position suffices to compute. Memory holds one block.
 * Long ties, buckets with more members than ``BLOCK``, are split at random into blocks. A block settles what agrees
-  inside it, and hands on one suffix of each tie it found and those without a partner; these meet by their hash
-  over all blocks, in one more grouping.
+  inside it, and hands on one suffix of each tie it found and those without a partner, by ranges of neighbouring starts. What the
+  strings from a range have in common meets over all blocks first; most ranges that reach into a text's own words end there. The
+  suffixes of the others meet by their hash, in one more grouping.
 
 Copies of a whole text are settled by their checksums, and only one copy takes part in the rest; equal contexts inside one
 batch of texts are settled there. Texts are cut where the name hash says so, never at a fixed size; matches do not cross texts.
@@ -92,6 +93,11 @@ class Unit:
     def context(self) -> int:
         return self.before + self.length
 
+    @property
+    def stride(self) -> int:
+        """Neighbouring starts that are handed on together."""
+        return -(-self.window // 8)
+
     @property
     def kind(self) -> np.dtype:
         return np.dtype("<u8" if self.words else "u1")
@@ -207,6 +213,21 @@ def _runs(agree: np.ndarray, at: np.ndarray, unit: Unit) -> tuple[np.ndarray, np
     return rows, origin + starts, origin + ends - 1 + unit.length
 
 
+def _ranges(contexts: np.ndarray, hashes: np.ndarray, chosen: np.ndarray, at: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """The chosen starts of rows of contexts by ranges of ``unit.stride``: the row, the hash of what all strings from the range have
+    in common, and the starts and their hashes. Equal strings start in the same range, as their sample positions are equal."""
+    stride = unit.stride
+    cores = string_hashes(contexts, unit.length - stride + 1)
+    which, c = np.nonzero(chosen)
+    group = c // stride
+    fresh = np.ones(len(which), bool)
+    fresh[1:] = (which[1:] != which[:-1]) | (group[1:] != group[:-1])
+    first = np.flatnonzero(fresh)
+    ends = pa.array(np.append(first, len(which)), pa.int32())
+    starts, found = (pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (at[which] - unit.before + c, hashes[which, c].view(np.int64)))
+    return which[first], cores[which[first], (group[first] + 1) * stride - 1].view(np.int64), starts, found
+
+
 _KEY = ["id", "tie"]
 _SPAN = "id bigint, tie bigint, start bigint, stop bigint"
 
@@ -269,7 +290,7 @@ def repeated_spans(texts: DataFrame, left_out: DataFrame, largest: int = BLOCK,
             gone = block.filter(pa.compute.invert(pa.compute.is_valid(block["context"])))
             if len(gone):
                 at = gone["at"].to_numpy()
-                yield gone["id"], gone["tie"], at - unit.before, at + unit.length, None
+                yield gone["id"], gone["tie"], at - unit.before, at + unit.length
             if not len(whole):
                 return
             at, before = whole["at"].to_numpy(), whole["before"].to_numpy()
@@ -277,22 +298,23 @@ def repeated_spans(texts: DataFrame, left_out: DataFrame, largest: int = BLOCK,
             wide = unit.kind.itemsize
             after = np.array([len(r) // wide for r in rows]) - before
             padded = b"".join(bytes((unit.before - b) * wide) + r + bytes((unit.length - a) * wide) for r, b, a in zip(rows, before.tolist(), after.tolist(), strict=True))
-            hashes, agree, lead = _settle(np.frombuffer(padded, unit.kind).reshape(-1, unit.context), before, after, unit)
+            contexts = np.frombuffer(padded, unit.kind).reshape(-1, unit.context)
+            hashes, agree, lead = _settle(contexts, before, after, unit)
             agree[whole["settled"].to_numpy()] = True
             which, start, stop = _runs(agree, at, unit)
-            yield whole["id"].take(pa.array(which)), whole["tie"].take(pa.array(which)), start, stop, None
+            yield whole["id"].take(pa.array(which)), whole["tie"].take(pa.array(which)), start, stop
             large = whole["n"].to_numpy() > largest
-            which, c = np.nonzero(lead & large[:, None])
-            if len(which):
-                start = at[which] - unit.before + c
-                yield whole["id"].take(pa.array(which)), whole["tie"].take(pa.array(which)), start, start + unit.length, hashes[which, c].view(np.int64)
+            if large.any():
+                which, core, starts, found = _ranges(contexts, hashes, lead & large[:, None], at, unit)
+                yield whole["id"].take(pa.array(which)), whole["tie"].take(pa.array(which)), None, None, _column(core, pa.int64()), starts, found
 
         def emit(block: pa.Table):
-            for id_, tie, start, stop, hashes in solve(block):
+            many = pa.list_(pa.int64())
+            for id_, tie, start, stop, *handed in solve(block):
                 id_, tie = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (id_, tie))
-                yield pa.RecordBatch.from_arrays([id_, tie, _column(start, pa.int64()), _column(stop, pa.int64()),
-                                                  pa.nulls(len(id_), pa.int64()) if hashes is None else _column(hashes, pa.int64())],
-                                                 names=["id", "tie", "start", "stop", "hash"])
+                span = [pa.nulls(len(id_), pa.int64()) if x is None else _column(x, pa.int64()) for x in (start, stop)]
+                yield pa.RecordBatch.from_arrays([id_, tie, *span, *(handed or [pa.nulls(len(id_), kind) for kind in (pa.int64(), many, many)])],
+                                                 names=["id", "tie", "start", "stop", "core", "starts", "hashes"])
 
         held, n = [], 0
         for batch in batches:
@@ -311,10 +333,13 @@ def repeated_spans(texts: DataFrame, left_out: DataFrame, largest: int = BLOCK,
         if held:
             yield from emit(pa.Table.from_batches(held))
 
-    spans = materialize(blocks.mapInArrow(settle, _SPAN + ", hash bigint"))
-    alone = spans.where("hash is not null")
+    spans = materialize(blocks.mapInArrow(settle, _SPAN + ", core bigint, starts array<bigint>, hashes array<bigint>"))
+    handed = spans.where("core is not null").select(*_KEY, "core", "starts", "hashes")
+    shared = handed.groupBy("core").agg(F.count("*").alias("_n")).where("_n > 1").select("core")
+    alone = materialize(handed.join(shared, "core").select(*_KEY, F.explode(F.arrays_zip("starts", "hashes")).alias("_s")).select(
+        *_KEY, F.col("_s")["starts"].alias("start"), (F.col("_s")["starts"] + unit.length).alias("stop"), F.col("_s")["hashes"].alias("hash")))
     met = alone.groupBy("hash").agg(F.count("*").alias("_n")).where("_n > 1").select("hash")
-    return spans.where("hash is null").drop("hash").unionByName(alone.join(met, "hash").drop("hash"))
+    return spans.where("core is null").select(*_KEY, "start", "stop").unionByName(alone.join(met, "hash").drop("hash"))
 
 
 def remove(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
