@@ -10,7 +10,12 @@ have no partner are told first:
 * Suspects are put into *regions*: in the global order of shingles, rare ones first, the first shingle that two partners have in
   common is among the first ``_lost + 1`` of either. A region holds the sets that have one such shingle in front.
 
-Then regions join recursively. Each round draws pivots in every region and computes the distance of each member to them. A member
+Where a region's shingle stands in the orders of two members bounds what they share, as it is the first that they have in common; else another
+region joins them. So members *meet* only if enough follows in both. The member that least of the rare shingles precede is near the
+middle of a group of near copies; in a first round all others meet it, and most of the group is one component. In a second one those outside
+a region's most frequent component, ``DRAWS`` at most, meet those of other components, and more of them in further rounds as long as few pairs meet.
+
+Other regions join recursively. Each round draws pivots in every region and computes the distance of each member to them. A member
 within the join distance of a pivot is linked to it. A member belongs to the cell of its nearest pivot and, where it
 is nearly as close to another one (triangle inequality: within twice the join distance), to that cell too. Members far from every
 pivot form an outer cell, joined by those near its boundary. Cells are the regions of the next round, without the
@@ -39,6 +44,8 @@ from leadspark.operators.staging import materialize, release, scratch
 # Words per shingle and least similarity in per cent, unless a caller names others.
 SHINGLE = 3
 NEAR = 90
+# Pivots per region of the second round.
+DRAWS = 1024
 # Pivots per region grow by this factor from round to round.
 MORE = 16
 # A region is divided into its cells if these have at most so many times its members.
@@ -160,9 +167,9 @@ def suspects(texts: DataFrame, length: int, near: int) -> tuple[DataFrame, DataF
 
 
 def _regions(sets: DataFrame, near: int) -> DataFrame:
-    """(region, sid, lead): the shingles that stand first in each set's rare-first order and in that of another set.
+    """(region, sid, n, after, lead): the shingles that stand first in each set's rare-first order and in that of another set.
 
-    What follows a pair's first common shingle bounds how much they share. ``lead`` marks members of whom enough follows for a partner of
+    ``after`` counts the region's shingle and those behind it: what follows a pair's first common shingle bounds how much they share. ``lead`` marks members of whom enough follows for a partner of
     their own size or more; the smaller of two partners has it, so members without it need not meet each other.
     """
     def listed(batches):
@@ -180,8 +187,8 @@ def _regions(sets: DataFrame, near: int) -> DataFrame:
     alone = F.col("n") - F.size("order")
     front = order.join(sets.select("sid", "n"), "sid").select("sid", "n", alone.alias("_alone"), F.posexplode(F.slice("order", 1, F.greatest(
         F.lit(0), (F.expr(f"n * {100 - near} div 100") + 1 - alone).cast("int")))).alias("_at", "_s")).select(
-        "sid", F.col("_s")["hash"].alias("region"), ((F.col("n") - F.col("_alone") - F.col("_at")) * (100 + near) >= 2 * near * F.col("n")).alias("lead"))
-    return materialize(front)
+        F.col("_s")["hash"].alias("region"), "sid", "n", (F.col("n") - F.col("_alone") - F.col("_at")).alias("after"))
+    return materialize(front.withColumn("lead", F.col("after") * (100 + near) >= 2 * near * F.col("n")))
 
 
 def _distances(pairs: DataFrame, sets: DataFrame, near: int) -> DataFrame:
@@ -203,6 +210,25 @@ def _distances(pairs: DataFrame, sets: DataFrame, near: int) -> DataFrame:
     return materialize(both.mapInArrow(measure, "sid bigint, pivot bigint, distance double, linked boolean"))
 
 
+def _meet_round(members: DataFrame, sets: DataFrame, draws: int, near: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pairs that met and their links, of members with up to ``draws`` pivots a region, those that most follows in, and the members of regions with more to draw.
+
+    ``members`` has region, sid, n, after, lead, component, minor and the number of a region's ``minors``. Only members of different
+    components whose followers suffice for a link are compared.
+    """
+    draw = F.when(F.col("minors") <= draws, F.col("sid")).otherwise(F.pmod(F.xxhash64("sid"), F.lit(draws)))
+    ahead = F.struct(F.col("after") - F.col("n"), F.col("after"), -F.col("sid"))
+    pivots = materialize(members.where("minor").groupBy("region", draw.alias("draw")).agg(
+        F.max_by(F.struct(F.col("sid").alias("pivot"), F.col("n").alias("m"), F.col("after").alias("left"), F.col("component").alias("home")), ahead).alias("_p"))
+        .select("region", "_p.*"))
+    met = members.join(pivots, (members["region"] == pivots["region"]) & (F.col("component") != F.col("home")) & (
+        F.least("after", "left") * (100 + near) >= near * (F.col("n") + F.col("m"))))
+    pairs = materialize(met.select(F.least("sid", "pivot").alias("sid"), F.greatest("sid", "pivot").alias("pivot")).distinct())
+    links = _distances(pairs, sets, near).where("linked").drop("linked")
+    rest = members.where(F.col("minors") > draws).join(pivots.select("region", F.col("pivot").alias("sid")), ["region", "sid"], "left_anti")
+    return pairs, links, rest.select("region", "sid", "n", "after", "lead")
+
+
 def _join_round(members: DataFrame, sets: DataFrame, draws: int, seed: int, near: int) -> tuple[DataFrame, DataFrame]:
     """Links found with this round's pivots, and the members of the next round's regions, from rows of (region, sid, lead, minor)."""
     draw = F.pmod(F.xxhash64(F.lit(seed), "sid"), F.lit(draws))
@@ -243,42 +269,51 @@ def _labels(found: DataFrame) -> DataFrame:
     return materialize(label)
 
 
-def _open_regions(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """(region, sid, lead, minor): regions that are not one component yet, one of those with the same members.
+def _open_regions(members: DataFrame, found: DataFrame | None, once: bool = False) -> DataFrame:
+    """``members`` of regions that are not one component yet, with component, minor and the number of ``minors`` of the region.
 
     Only ``minor`` members need to be pivots. A link has a leading member, and members of one component need not meet, so it is enough that
     all leading members are pivots, or all members outside the region's most frequent component, whichever are fewer; a region without
-    leading members is done. Before there are links, every member stands alone.
+    leading members is done. Before there are links, every member stands alone. With ``once`` regions of the same members are one.
     """
-    label = None if found is None else _labels(found)
-    known = (members.withColumn("component", F.col("sid")) if label is None else
-             members.join(label, "sid", "left").withColumn("component", F.coalesce("component", "sid")))
-    known = materialize(known)
+    if found is None:
+        counts = members.groupBy("region").agg(F.count("*").alias("all"), F.count_if("lead").alias("minors")).where("all > 1 and minors > 0")
+        return materialize(members.join(counts.drop("all"), "region").withColumns({"component": F.col("sid"), "minor": F.col("lead")}))
+    known = materialize(members.join(_labels(found), "sid", "left").withColumn("component", F.coalesce("component", "sid")))
     shares = known.groupBy("region", "component").agg(F.count("*").alias("n"), F.count_if("lead").alias("leads"))
-    mark = F.xxhash64("sid", "lead").cast("decimal(38,0)")
-    sums = known.groupBy("region").agg(F.count("*").alias("size"), F.sum(mark).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "sid", "lead")).alias("xor"))
-    main = shares.groupBy("region").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("components"),
-                                        F.sum("n").alias("all"), F.sum("leads").alias("leads"))
-    kept = main.where("components > 1 and leads > 0").join(sums, "region").groupBy("size", "sum", "xor").agg(
-        F.min_by("main", "region").alias("main"), F.min("region").alias("region"), F.first("all").alias("all"), F.first("leads").alias("leads"))
-    outside = F.col("component") != F.col("main")["component"]
-    minor = F.when(F.col("all") - F.col("main")["n"] < F.col("leads"), outside).otherwise(F.col("lead"))
-    return materialize(known.join(kept.select("region", "main", "all", "leads"), "region").select("region", "sid", "lead", minor.alias("minor")))
+    kept = shares.groupBy("region").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("components"),
+                                        F.sum("n").alias("all"), F.sum("leads").alias("leads")).where("components > 1 and leads > 0")
+    if once:
+        mark = F.xxhash64("sid", "lead").cast("decimal(38,0)")
+        sums = known.groupBy("region").agg(F.count("*").alias("size"), F.sum(mark).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "sid", "lead")).alias("xor"))
+        kept = kept.join(sums, "region").groupBy("size", "sum", "xor").agg(
+            F.min_by("main", "region").alias("main"), F.min("region").alias("region"), F.first("all").alias("all"), F.first("leads").alias("leads"))
+    others = F.col("all") - F.col("main")["n"]
+    minor = F.when(others < F.col("leads"), F.col("component") != F.col("main")["component"]).otherwise(F.col("lead"))
+    return materialize(known.join(kept.select("region", "main", "all", "leads"), "region").select(
+        *members.columns, "component", minor.alias("minor"), F.least(others, "leads").alias("minors")))
 
 
 def links(sets: DataFrame, near: int) -> DataFrame | None:
     """(sid, pivot, distance): links enough to connect whatever is linked, from rows of (sid, n, shingles); None if there are none."""
-    members, found, draws, seed = _regions(sets, near), None, 1, 0
+    members, found, draws, seed, meeting = _regions(sets, near), None, 1, 0, True
     while True:
-        members = _open_regions(members, found)
+        members = _open_regions(members, found, once=not meeting)
         if members.isEmpty():
             return found
         with scratch(sets.sparkSession) as keep:
-            new, rest = _join_round(members, sets, draws, seed, near)
+            if meeting:
+                pairs, new, rest = _meet_round(members, sets, draws, near)
+                # Where a round meets more pairs than there are members, what follows tells too few apart.
+                meeting = found is None or pairs.count() <= members.count()
+                draws = DRAWS if found is None else draws * MORE if meeting else MORE
+            else:
+                new, rest = _join_round(members, sets, draws, seed, near)
+                draws, seed = draws * MORE, seed + 1
             before = found, members
-            found, members = keep(new if found is None else found.unionByName(new)), keep(rest)
+            found = keep(new if found is None else found.unionByName(new))
+            members = keep(rest if meeting else rest.select("region", "sid", "lead"))
         release(*before)
-        draws, seed = draws * MORE, seed + 1
 
 
 def near_components(docs: DataFrame, text: str = "text", length: int = SHINGLE, near: int = NEAR) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from leadspark.llm import bpe, extract, jaccard, minhash, mixing, pu, records, rules, sharding, suffix
+from leadspark.operators import staging
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -250,6 +251,58 @@ def test_jaccard_components(spark, rows, docs, empty):
     assert abs(one.count() - len(groups)) <= 1  # two rows without id
 
 
+def near_group(size, seed=4):
+    """Copies of one text of 150 words that replace one to five words each, the text itself, and others."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, size):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice((1, 2, 3, 3, 4, 5))):
+            words[at] = rng.choice((f"x{rng.randrange(1000)}", f"y{rng.randrange(1000)}", "", words[at - 1]))
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("draws", [jaccard.DRAWS, 2])
+def test_near_copies_of_one_text_are_not_all_pairs(spark, draws, monkeypatch):
+    """Most of a large group of near copies is one component after a round; few pairs of the rest can be linked."""
+    measured = []
+    counted = jaccard._distances
+
+    def count(pairs, sets, near):
+        measured.append(pairs.count())
+        return counted(pairs, sets, near)
+
+    monkeypatch.setattr(jaccard, "_distances", count)
+    monkeypatch.setattr(jaccard, "DRAWS", draws)
+    rows = near_group(300)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = jaccard.near_components(docs).select("doc_id", "n_shingles", "component_id").collect()
+    same([tuple(r) for r in found], components(rows))
+    assert draws == 2 or sum(measured) <= 10 * len(rows), measured
+
+
+def test_regions_where_many_pairs_meet_are_divided(spark, monkeypatch):
+    """Rounds of cells follow where the order of shingles tells too few members apart, with the same components."""
+    divided = []
+    counted = jaccard._join_round
+
+    def count(*args):
+        divided.append(1)
+        return counted(*args)
+
+    monkeypatch.setattr(jaccard, "_join_round", count)
+    monkeypatch.setattr(jaccard, "DRAWS", 4)
+    rng = random.Random(8)
+    blocks = [[" ".join(f"b{k}v{v}w{i}" for i in range(8)) for v in range(2)] for k in range(12)]
+    rows = [(k, " ".join(rng.choice(b) if rng.random() < 0.7 else b[0] for b in blocks)) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = jaccard.near_components(docs).select("doc_id", "n_shingles", "component_id").collect()
+    same([tuple(r) for r in found], components(rows))
+    assert divided
+
+
 # ---------------------------------------------------------------------------------------- weak supervision, PU
 
 def test_rule_counts(spark, rows, docs, empty):
@@ -444,6 +497,26 @@ def test_repeated_passages_of_words(spark, largest):
         assert gone or bytes(found[k]["kept"]) == (t or "").encode()
 
 
+def test_frequent_passage_hands_on_few_rows(spark, monkeypatch):
+    """Texts round one passage: what a block hands on are ranges of starts, and suffixes only where ranges meet."""
+    counts = []
+
+    def written(df):
+        table = staging.materialize(df)
+        counts.append(table.count())
+        return table
+
+    monkeypatch.setattr(suffix, "materialize", written)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, " ".join(f"a{k}x{i}" for i in range(45)) + f" {passage} " + " ".join(f"z{k}x{i}" for i in range(45))) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = {r["doc_id"]: bytes(r["kept"]).split() for r in suffix.dedup(docs, largest=20, unit=suffix.Unit(50, words=True)).collect()}
+    for (k, _), words, gone in zip(rows, *repeated_words(rows, 50), strict=True):
+        assert found[k] == [w for i, w in enumerate(words) if i not in gone]
+    assert len(found[0]) == 90
+    assert max(counts) <= 25 * len(rows), counts
+
+
 @pytest.mark.parametrize("near", [80, 90])
 def test_shared_passages_are_not_all_pairs(spark, near, monkeypatch):
     """Texts that share one passage of 170 words and differ in 30, each with one near copy: what is measured grows with the texts."""
